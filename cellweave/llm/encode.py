@@ -10,8 +10,10 @@ logarithmic time. Trees of many words are worked off side by side as rows of one
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +26,35 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG, NONE, SHIFT = 256, np.int64(1) << 62, 24
 #: Words kept per worker and characters encoded at once: both bound memory, neither changes a result.
-KEEP, CHUNK = 300_000, 1_000_000
+KEEP, CHUNK = 600_000, 1_000_000
+
+
+#: A stretch of blanks and what follows it up to the next one: no word of the pattern reaches over its end, so stretches
+#: are cut, known and looked up as wholes. Texts with other white space are cut by the pattern alone.
+STRETCH = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+").findall
+OTHER_SPACE = re.compile(r"[^\S \n\r\t]").search
+
+
+class Table:
+    """Ids of strings, one after the other in one array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, names: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def get(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of lists of strings, all of them known."""
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        n = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
+        return ends[np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])], ids
 
 
 class Encoder:
@@ -41,8 +71,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.length, self.flat, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        self.words, self.stretches = Table(), Table()
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank (= id of the result) of pairs, -1 where they don't merge."""
@@ -156,30 +185,21 @@ class Encoder:
                 names += [words[i] for i in part]
                 lens.append(a)
                 flats.append(b)
-        if not names:
-            return
-        n = np.concatenate(lens)
-        first = len(self.known)
-        self.known.update(zip(names, range(first, first + len(names))))
-        self.start = np.concatenate([self.start, self.size + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.flat = np.concatenate([self.flat, *[f.astype(np.int32) for f in flats]])
-        self.size += int(n.sum())
+        if names:
+            self.words.add(names, np.concatenate(lens), np.concatenate(flats))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]; NULL and '' have none."""
-        if len(self.known) > KEEP:
+        if len(self.words.known) + len(self.stretches.known) > KEEP:
             self.forget()
-        split = [self.find(t) if t else [] for t in texts]
-        count = np.array([len(s) for s in split], np.int64)
-        words = [w for s in split for w in s]
-        if new := set(words).difference(self.known):
-            self.learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = self.length[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.start[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
-        return ends[np.concatenate([[0], np.cumsum(count)])], ids
+        split = [[] if not t else self.find(t) if OTHER_SPACE(t) else STRETCH(t) for t in texts]
+        if new := list(set(chain.from_iterable(split)).difference(self.stretches.known)):
+            cut = [self.find(s) for s in new]
+            if words := set(chain.from_iterable(cut)).difference(self.words.known):
+                self.learn(list(words))
+            off, ids = self.words.get(cut)
+            self.stretches.add(new, np.diff(off), ids)
+        return self.stretches.get(split)
 
 
 def _levels(width: int) -> Iterable[int]:

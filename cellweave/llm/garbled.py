@@ -38,27 +38,37 @@ def _read(data: bytes, enc: str) -> str | None:
     return "".join(bytes([b]).decode("latin-1") if b in b"\x81\x8d\x8f\x90\x9d" else bytes([b]).decode("cp1252") for b in data)
 
 
+def _ways() -> list[tuple[str, ...]]:
+    both = ("cp1252", "latin-1")
+    return [(e,) for e in WIDE_READ] + [(e, e) for e in WIDE_READ] + [("cp1252", "latin-1"), ("latin-1", "cp1252")] + [(a, b, c) for a in both for b in both for c in both]
+
+
+def _garble(ch: str, way: tuple[str, ...]) -> str | None:
+    s: str | None = ch
+    for enc in way:
+        s = _read(s.encode("utf-8"), enc)
+        if s is None:
+            return None
+    return s if len(s) > 1 else None
+
+
 @lru_cache(maxsize=1)
-def sequences() -> dict[str, str]:
-    """Garbled sequence -> what was written. Where two characters give the same one, the more frequent wins."""
-    chars = list(HOME) + [chr(c) for c in WIDER if chr(c) not in HOME]
-    ways = [(e,) * n for e in WIDE_READ for n in (1, 2)]
-    ways += [(a, b, c) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1") for c in ("cp1252", "latin-1")]
-    ways += [("cp1252", "latin-1"), ("latin-1", "cp1252")]
-    out: dict[str, str] = {}
-    for ch in chars:
-        for way in ways:
-            s: str | None = ch
-            for enc in way:
-                s = _read(s.encode("utf-8"), enc)
-                if s is None:
-                    break
-            if s is None or len(s) < 2:
-                continue
-            for v in {s, s.lower(), s.upper(), s.replace(" ", " ")}:
-                if len(v) > 1 and not v.isascii() and v != ch and len(v.strip()) > 1:
-                    out.setdefault(v, ch)
-    # An accent that stands alone is written as one with its letter.
+def sequences() -> dict[str, tuple[str, bool]]:
+    """Garbled sequence -> what was written, and whether the sequence was put in small letters afterwards.
+
+    Where two characters give the same one, letters of the region win, then the more usual encoding, then a sequence
+    as it came over one in the other case.
+    """
+    home = [(c, w) for c in HOME for w in _ways()]
+    rest = [(chr(c), w) for w in _ways() for c in WIDER if chr(c) not in HOME]
+    found = [(ch, s) for ch, w in home + rest if (s := _garble(ch, w)) and not s.isascii()]
+    out: dict[str, tuple[str, bool]] = {}
+    for ch, s in found:
+        out.setdefault(s, (ch, False))
+    for ch, s in found:
+        for v in (s.lower(), s.upper()):
+            if len(v) > 1 and v != ch:
+                out.setdefault(v, (ch, v == s.lower() and v != s))
     return out
 
 
@@ -68,7 +78,7 @@ def automaton():
 
     a = ahocorasick.Automaton()
     for k, v in sequences().items():
-        a.add_word(k, (len(k), v))
+        a.add_word(k, (len(k), *v))
     a.make_automaton()
     return a
 
@@ -90,7 +100,6 @@ def narrow() -> list[dict[str, str]]:
 
 
 WRONG_CASE = re.compile(r"[a-zà-öø-ÿœ][A-ZÀ-ÖØ-ÞŒ]")
-SHOUT, QUIET = re.compile(r"^[^a-zà-öø-ÿ]*$"), re.compile(r"^[^A-ZÀ-ÖØ-Þ]*$")
 
 
 def readable(word: str) -> bool:
@@ -144,7 +153,9 @@ def odd(word: str, name: str) -> bool:
         elif c in HOME:
             if c.isupper() and left.isalpha() and left.islower():
                 return True
-        elif latin:
+        elif c in "ÃÕÑ" and (not left or left.isupper()) and (not right or right.isupper()):
+            continue
+        elif latin and re.search(r"[A-Za-z]", word):
             return True
     return False
 
@@ -164,40 +175,47 @@ def _narrow(name: str) -> tuple[str, bool]:
                 if new == w or kept or not readable(new):
                     fits = False
                     break
-            elif not (new != w and readable(new) and (new == "–" or w[:1].islower() and new[:1].isupper())):
+            elif not (new != w and readable(new) and (len(w) == 1 or w[:1].islower() and new[:1].isupper())):
                 new = w
             cost += sum(HOME.index(c) for c in new if c in HOME)
+            cost += 40 * (len(new) > 1 and not new[0].isascii() and new[0].islower())
             out.append(new)
         if fits and (best is None or cost < best[0]):
             best = cost, "".join(out)
     return (best[1], True) if best else (name, False)
 
 
-#: What is left of a sequence whose control character or no-break space was dropped.
+#: What is left of a sequence whose no-break space or control character was dropped: what it was can be told, or can't.
 STRIPPED = re.compile(r"Ã(?= |$)|(?<= )â(?= )|(?<=[A-Za-z])â(?=[A-ZÀ-Þ])")
+GONE = re.compile(r"Ã(?=[a-zß-ÿA-NP-ZÀ-Þ])|(?<=[a-zß-ÿ])Ã")
+
+
+def _unstrip(m: re.Match) -> str:
+    if m[0] == "Ã":
+        return "à"
+    return "–" if m.string[m.start() - 1 : m.start()] == " " else "’"
 
 
 def repair(name: str | None) -> tuple[bool, str | None, bool]:
     """(found, restored, complete). restored has what could be had back; complete is False where letters are lost."""
     if not name or name.isascii():
         return False, name, True
-    out, at = [], 0
-    for end, (n, v) in automaton().iter_long(name):
+    out, at, small = [], 0, False
+    for end, (n, v, low) in automaton().iter_long(name):
         out += [name[at : end - n + 1], v]
-        at = end + 1
+        at, small = end + 1, small or low
     found = at > 0
-    new = "".join(out) + name[at:] if found else name
+    new = "".join(out) + name[at:]
     if found:
         rest = re.sub(r"[^A-Za-z]", "", name)
-        if len(rest) > 1 and rest.isupper():
-            new = new.upper()
-        elif len(rest) > 1 and rest.islower():
+        if small:
             new = new.lower()
-    complete = LOST not in name
-    for m in {m[0] for m in STRIPPED.finditer(new)}:
-        found = True
-        new = STRIPPED.sub(lambda x: "à" if x[0] == "Ã" else "–" if x.string[x.start() - 1 : x.start()] == " " else "’", new)
-    if not found:
+        elif len(rest) > 1 and rest.isupper():
+            new = new.upper()
+    if STRIPPED.search(new):
+        found, new = True, STRIPPED.sub(_unstrip, new)
+    complete = LOST not in name and not GONE.search(new)
+    if not found and complete:
         new, found = _narrow(name)
     return found or not complete, new, complete
 
