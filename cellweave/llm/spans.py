@@ -143,8 +143,8 @@ def _sampled(size: int, slack: int):
     return go
 
 
-def _every(size: int):
-    """Rows (id, pos, h) of every window of a record that starts in one of its parts [lo, hi)."""
+def _every(size: int, once: bool):
+    """Rows (id, pos, h) of every window of a record that starts in one of its parts [lo, hi); ``once``: of equal windows of a record the first."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, part in _texts(b, 1):
@@ -160,6 +160,10 @@ def _every(size: int):
                 if pos:
                     a, k = np.concatenate(pos), np.concatenate(who)
                     h = x.windows(size, a).view(np.int64)
+                    if once:
+                        order = np.lexsort((a, h, k))
+                        keep = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])])]
+                        a, k, h = a[keep], k[keep], h[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[k], pa.int64()), pa.array(a - x.starts[k], pa.int32()), pa.array(h, pa.int64())], ["id", "pos", "h"])
 
     return go
@@ -190,7 +194,7 @@ def _parts(rows: DataFrame, size: int, slack: int, least: int) -> DataFrame:
     return islands.withColumn("r", long).where(F.size("r") > 0).select("id", F.expr("transform(r, x -> x.lo)").alias("los"), F.expr("transform(r, x -> x.hi)").alias("his"))
 
 
-def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def candidates(docs: DataFrame, least: int = LEAST, once: bool = False) -> DataFrame:
     """(id, pos, h): windows of ``least`` code points that survive all shorter levels. docs: (id, text), id unique.
 
     The text of records is read once more per level, but only that of records with parts left is moved.
@@ -202,19 +206,17 @@ def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     size *= 2
     parts = _parts(left.select("id", "text", "los", "his").mapInArrow(_sampled(size, slack), RUNS), size, slack, least)
     left = left.select("id", "text").join(parts, "id")
-    return left.select("id", "text", "los", "his").mapInArrow(_every(least), "id bigint, pos int, h bigint")
+    return left.select("id", "text", "los", "his").mapInArrow(_every(least, once), "id bigint, pos int, h bigint")
 
 
 def shared_pairs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id_a, id_b, pos_a, pos_b), id_a < id_b: all pairs of records with a span of ``least`` code points in common, and where one begins.
 
-    Equal windows are found by hash and compared character for character. Windows repeated nowhere are dropped before
-    the join; pairs are combined on the map side, as one span has many windows.
+    Equal windows are found by hash and compared character for character. All windows are shuffled once, for both
+    sides of the join; pairs are combined on the map side, as one span has many windows.
     """
-    w = candidates(docs, least)
-    first = written(w.groupBy("h", "id").agg(F.min("pos").alias("pos")))
-    own = first.join(repeated(first), "h", "left_semi")
-    a, b = (own.select("h", F.col("id").alias(f"id_{s}"), F.col("pos").alias(f"pos_{s}")) for s in "ab")
+    w = candidates(docs, least, once=True).select("h", "id", "pos").repartition("h")
+    a, b = (w.select("h", F.col("id").alias(f"id_{s}"), F.col("pos").alias(f"pos_{s}")) for s in "ab")
     p = a.join(b, "h").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.min(F.struct("pos_a", "pos_b")).alias("p")).select("id_a", "id_b", "p.*")
     for s in "ab":
         p = p.join(docs.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")), f"id_{s}").withColumn(f"text_{s}", F.substring(F.col(f"text_{s}"), F.col(f"pos_{s}") + 1, F.lit(least)))
