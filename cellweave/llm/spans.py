@@ -4,7 +4,9 @@ Level 1 looks at windows of a quarter of the least length, level 2 at twice that
 A window repeated in no other record rules out every longer span around it, so each level only looks where the one
 before left room, and ends where nothing is left. Below the last level it is enough to look at a content-defined
 choice of windows: of any ``slack`` windows in a row the one with the smallest hash. Two records that share a span
-choose alike inside it. The last level looks at every window that can still be one.
+choose alike inside it. The last level's windows and its slack together are just as long as a span, so records with
+one in common have a choice of it in common; those pairs are compared exactly. Where a choice is held by more records
+than ``CROWD``, pairs are not compared one by one: all windows of the least length around it meet by hash instead.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stage import written
 
-LEAST = 400
+LEAST, SLACK, CROWD = 400, 32, 64
 CHUNK = 400_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _B = 0xD6E8FEB86659FD93
@@ -143,8 +145,8 @@ def _sampled(size: int, slack: int):
     return go
 
 
-def _every(size: int, once: bool):
-    """Rows (id, pos, h) of every window of a record that starts in one of its parts [lo, hi); ``once``: of equal windows of a record the first."""
+def _every(size: int):
+    """Rows (id, pos, h, h2) of every window of a record that starts in one of its parts [lo, hi); h and h2 are 128 bits together."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, part in _texts(b, 1):
@@ -152,19 +154,53 @@ def _every(size: int, once: bool):
                 ids = b.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)
                 pos, who = [], []
                 for k, (s, e) in enumerate(zip(x.starts.tolist(), x.ends.tolist())):
-                    for p, q in zip(b.column(2)[at + k].as_py(), b.column(3)[at + k].as_py()):
-                        n = min(q, e - s) - size + 1
-                        if n > p:
-                            pos.append(np.arange(p, n) + s)
-                            who.append(np.full(n - p, k))
-                if pos:
-                    a, k = np.concatenate(pos), np.concatenate(who)
+                    spots = [np.arange(p, min(q, e - s) - size + 1) for p, q in zip(b.column(2)[at + k].as_py(), b.column(3)[at + k].as_py())]
+                    a = np.unique(np.concatenate(spots)) if spots else np.zeros(0, int)
+                    pos.append(a + s)
+                    who.append(np.full(len(a), k))
+                a, k = np.concatenate(pos), np.concatenate(who)
+                if len(a):
+                    half = size // 2
                     h = x.windows(size, a).view(np.int64)
-                    if once:
-                        order = np.lexsort((a, h, k))
-                        keep = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])])]
-                        a, k, h = a[keep], k[keep], h[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[k], pa.int64()), pa.array(a - x.starts[k], pa.int32()), pa.array(h, pa.int64())], ["id", "pos", "h"])
+                    h2 = (_mix(x.windows(half, a)) ^ x.windows(size - half, a + half)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[k], pa.int64()), pa.array(a - x.starts[k], pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64())], ["id", "pos", "h", "h2"])
+
+    return go
+
+
+def common(a: str, b: str, least: int) -> list[int]:
+    """Positions in a from which ``least`` code points stand somewhere in b, character for character."""
+    x = Hashed([a, b])
+    n, m = len(a) - least + 1, len(b) - least + 1
+    if n < 1 or m < 1:
+        return []
+    ha, hb = x.windows(least, np.arange(n)), x.windows(least, len(a) + np.arange(m))
+    order = np.argsort(hb, kind="stable")
+    at = np.minimum(np.searchsorted(hb[order], ha), m - 1)
+    hit = np.flatnonzero(hb[order][at] == ha)
+    out: list[int] = []
+    for p in hit.tolist():
+        q = int(order[at[p]])
+        if a[p : p + least] == b[q : q + least]:
+            out.append(p)
+    return out
+
+
+def _compare(least: int):
+    """(id_a, id_b, los_a, his_a, los_b, his_b) of the pairs that have a span in common: its parts in both texts."""
+    def stretches(p: list[int]) -> tuple[list[int], list[int]]:
+        x = np.array(p)
+        cut = np.flatnonzero(np.diff(x) > least)
+        return [int(v) for v in np.concatenate([x[:1], x[cut + 1]])], [int(v) + least for v in np.concatenate([x[cut], x[-1:]])]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for a_id, b_id, ta, tb in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if pa_ := common(ta, tb, least):
+                    rows.append((a_id, b_id, *stretches(pa_), *stretches(common(tb, ta, least))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4))], ["id_a", "id_b", "los_a", "his_a", "los_b", "his_b"])
 
     return go
 
@@ -194,41 +230,68 @@ def _parts(rows: DataFrame, size: int, slack: int, least: int) -> DataFrame:
     return islands.withColumn("r", long).where(F.size("r") > 0).select("id", F.expr("transform(r, x -> x.lo)").alias("los"), F.expr("transform(r, x -> x.hi)").alias("his"))
 
 
-def candidates(docs: DataFrame, least: int = LEAST, once: bool = False) -> DataFrame:
-    """(id, pos, h): windows of ``least`` code points that survive all shorter levels. docs: (id, text), id unique.
+PAIRS = "id_a bigint, id_b bigint, los_a array<int>, his_a array<int>, los_b array<int>, his_b array<int>"
+
+
+def _levels(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(left, rows): the records (id, text) that survive all levels, and the choices (id, lo, hi, h) of the last one.
 
-    The text of records is read once more per level, but only that of records with parts left is moved.
+    The text of records is read once more per level; only that of records with parts left is moved, once.
     """
     d = docs.where(F.length("text") >= least).select("id", "text")
     size = slack = least // 4
-    todo = d.join(_parts(d.mapInArrow(_sampled(size, slack), RUNS), size, slack, least), "id")
-    left = written(todo)
+    left = written(d.join(_parts(d.mapInArrow(_sampled(size, slack), RUNS), size, slack, least), "id"))
     size *= 2
-    parts = _parts(left.select("id", "text", "los", "his").mapInArrow(_sampled(size, slack), RUNS), size, slack, least)
-    left = left.select("id", "text").join(parts, "id")
-    return left.select("id", "text", "los", "his").mapInArrow(_every(least, once), "id bigint, pos int, h bigint")
+    cols = "id", "text", "los", "his"
+    parts = _parts(left.select(*cols).mapInArrow(_sampled(size, slack), RUNS), size, slack, least)
+    left = written(left.select("id", "text").join(parts, "id"))
+    rows = written(left.select(*cols).mapInArrow(_sampled(least - SLACK + 1, SLACK), RUNS))
+    return left.select("id", "text"), rows
+
+
+def _found(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowd): compared pairs with their parts, and the windows (id, pos, h, h2) around crowded choices."""
+    left, rows = _levels(docs, least)
+    n = written(rows.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    few = rows.join(n.where(F.col("n") <= CROWD), "h", "left_semi").select("h", "id").distinct()
+    few = written(few)
+    p = few.withColumnRenamed("id", "id_a").join(few.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
+    for s in "ab":
+        p = p.join(left.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")), f"id_{s}")
+    pairs = p.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_compare(least), PAIRS)
+    # A choice [lo, hi] covers the windows from lo to hi + slack - 1; a span around it starts at most slack earlier.
+    many = rows.join(n.where(F.col("n") > CROWD), "h", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.greatest(F.col("lo") - SLACK, F.lit(0)).alias("lo"), (F.col("hi") + SLACK + least).alias("hi")))).alias("r"))
+    many = many.select("id", F.expr("transform(r, x -> x.lo)").alias("los"), F.expr("transform(r, x -> x.hi)").alias("his"))
+    crowd = left.join(many, "id").select("id", "text", "los", "his").mapInArrow(_every(least), "id bigint, pos int, h bigint, h2 bigint")
+    return pairs, crowd
 
 
 def shared_pairs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id_a, id_b, pos_a, pos_b), id_a < id_b: all pairs of records with a span of ``least`` code points in common, and where one begins.
+    """(id_a, id_b), id_a < id_b: all pairs of records with a span of ``least`` code points in common.
 
-    Equal windows are found by hash and compared character for character. All windows are shuffled once, for both
-    sides of the join; pairs are combined on the map side, as one span has many windows.
+    docs: (id, text), id unique; NULL, empty and shorter texts have none. Pairs that share a choice of the last level
+    are compared character for character. In crowds, records meet on each window of ``least`` code points by 128 bits
+    of hash, so only pairs that belong to the result are made, however many records hold the same shorter passage.
     """
-    w = candidates(docs, least, once=True).select("h", "id", "pos").repartition("h")
-    a, b = (w.select("h", F.col("id").alias(f"id_{s}"), F.col("pos").alias(f"pos_{s}")) for s in "ab")
-    p = a.join(b, "h").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.min(F.struct("pos_a", "pos_b")).alias("p")).select("id_a", "id_b", "p.*")
-    for s in "ab":
-        p = p.join(docs.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")), f"id_{s}").withColumn(f"text_{s}", F.substring(F.col(f"text_{s}"), F.col(f"pos_{s}") + 1, F.lit(least)))
-    return p.where("text_a = text_b").select("id_a", "id_b", "pos_a", "pos_b")
+    pairs, crowd = _found(docs, least)
+    w = written(crowd.select("h", "h2", "id").distinct())
+    c = w.withColumnRenamed("id", "id_a").join(w.withColumnRenamed("id", "id_b"), ["h", "h2"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    return pairs.select("id_a", "id_b").unionByName(c).distinct()
 
 
 def shared_parts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, n_chars, shared_chars, share) of every record: code points that lie in spans found in another record. NULL texts have 0 of 0."""
-    w = written(candidates(docs, least))
-    runs = w.join(repeated(w), "h", "left_semi").select("id", "pos").distinct().groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("p"))
-    covered = F.aggregate("p", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + x + least - F.greatest(x, s["end"])).alias("n"), (x + least).alias("end")))
-    c = runs.select("id", covered["n"].alias("shared_chars"))
+    pairs, crowd = _found(docs, least)
+    pairs, w = written(pairs), written(crowd)
+    same = w.groupBy("h", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "h2")
+    parts = w.join(same, ["h", "h2"], "left_semi").select("id", F.col("pos").alias("lo"), (F.col("pos") + least).alias("hi"))
+    for s in "ab":
+        parts = parts.unionByName(pairs.select(F.col(f"id_{s}").alias("id"), F.explode(F.arrays_zip(F.col(f"los_{s}").alias("lo"), F.col(f"his_{s}").alias("hi"))).alias("x")).select("id", "x.lo", "x.hi"))
+    # Per record, bounded by its text: equal parts are combined before the shuffle.
+    runs = parts.distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    covered = F.aggregate("r", start, lambda s, x: F.struct((s["n"] + F.greatest(x["hi"] - F.greatest(x["lo"], s["end"]), F.lit(0))).alias("n"), F.greatest(x["hi"], s["end"]).alias("end")))
     n = F.coalesce(F.length("text"), F.lit(0))
-    out = docs.select("id", n.alias("n_chars")).join(c, "id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
+    out = docs.select("id", n.alias("n_chars")).join(runs.select("id", covered["n"].alias("shared_chars")), "id", "left")
+    out = out.withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
     return out.withColumn("share", F.coalesce(F.col("shared_chars") / F.nullif(F.col("n_chars"), F.lit(0)), F.lit(0.0)))
