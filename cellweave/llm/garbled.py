@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,15 +226,16 @@ def find(df: DataFrame, id_col: str = "feature_id", text: str = "NAME") -> DataF
     NULL, empty and ASCII texts are no cases and never leave the JVM. Restored text is NULL where nothing could be had
     back; ``complete`` is false where letters were lost.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = {s: repair(s) for s in b["name"].unique()}
-            keep = b["name"].map(lambda s: got[s][0])
-            out = b[keep.astype(bool)].copy()
-            out["restored"] = [got[s][1] if got[s][1] != s else None for s in out["name"]]
-            out["complete"] = [got[s][2] for s in out["name"]]
-            yield out
+            names = b.column(1).to_pylist()
+            got = {s: repair(s) for s in set(names)}
+            keep = [k for k, s in enumerate(names) if got[s][0]]
+            if keep:
+                hit = [names[k] for k in keep]
+                new = pa.array([got[s][1] if got[s][1] != s else None for s in hit], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(hit, pa.string()), new, pa.array([got[s][2] for s in hit])], ["id", "name", "restored", "complete"])
 
     kind = df.schema[id_col].dataType.simpleString()
     own = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).alias("id"), F.col(text).alias("name"))
-    return own.mapInPandas(run, f"id {kind}, name string, restored string, complete boolean").withColumnRenamed("id", id_col)
+    return own.mapInArrow(run, f"id {kind}, name string, restored string, complete boolean").withColumnRenamed("id", id_col)
