@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,20 +55,23 @@ def convert(raw: DataFrame, cfg: BuildConfig, system: CellSystem | None = None)
     args = cfg.target_cells, cfg.min_resolution, cfg.max_resolution, mode
     names = ["UUID", "NAME", "OBJEKTART", "source"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for g in b["geometry"]:
+            keep, rows = [], []
+            for k, g in enumerate(b.column(4).to_pylist()):
                 try:
-                    rows.append(system.cover(bytes(g), *args))
+                    got = system.cover(g, *args)
                 except (ValueError, TypeError):
-                    rows.append(None)
-            keep = [r is not None and len(r[0]) > 0 for r in rows]
-            out, got = b.loc[keep, names].copy(), [r for r, k in zip(rows, keep) if k]
-            out["h3_cells"], out["h3_resolution"], out["h3_cell_count"] = [r[0] for r in got], [r[1] for r in got], [len(r[0]) for r in got]
-            yield out
-
-    return raw.where("geometry is not null").select(*names, "geometry").mapInPandas(run, CONVERTED)
+                    continue
+                if got[0]:
+                    keep.append(k)
+                    rows.append(got)
+            if keep:
+                own = [c.take(pa.array(keep)) for c in b.columns[:4]]
+                cells, res, n = pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int8()), pa.array([len(r[0]) for r in rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([*own, cells, res, n], [*names, "h3_cells", "h3_resolution", "h3_cell_count"])
+
+    return raw.where("geometry is not null").select(*names, "geometry").mapInArrow(run, CONVERTED)
 
 
 def dense_ids(df: DataFrame, order: list, name: str = "feature_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tried in this order. Latin-1 takes any byte, so it is the last.
-ENCODINGS = ("utf-8", "latin-1")
+ENCODINGS = ("UTF-8", "ISO-8859-1")
 MATRICES = ("npmi", "b1", "b2")
 
 
