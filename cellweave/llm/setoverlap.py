@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stage import written
+
 SCHEMA = "set_a string, set_b string, n bigint"
 
 
@@ -65,7 +67,7 @@ def overlaps(df: DataFrame, key: str, array: str) -> DataFrame:
     """
     flat = df.where(F.col(key).isNotNull()).select(F.col(key).alias("s"), F.explode(F.array_distinct(array)).alias("id")).where("id is not null").distinct()
     parts = flat.repartitionByRange("id").sortWithinPartitions("s", "id").mapInArrow(_count_pairs, SCHEMA)
-    n = parts.groupBy("set_a", "set_b").agg(F.sum("n").alias("n"))
+    n = written(parts.groupBy("set_a", "set_b").agg(F.sum("n").alias("n")))
     size = n.where("set_a = set_b")
     out = n.where("set_a <> set_b").select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), F.col("n").alias("n_shared"))
     for side in "ab":

@@ -15,7 +15,8 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,9 @@ def _count(c: np.ndarray, m: int, base: float) -> tuple[np.ndarray, np.ndarray]:
             theta = theta + step
             if np.abs(step).max(initial=0) < 1e-9:
                 break
-        n, err = m * np.exp(theta), 1 / np.sqrt(np.maximum(-b, 1e-12))
+        # The curvature is that of a Poisson rate; the set is fixed, which takes 1/n off. Collisions leave 1/(2m) at least.
+        n = m * np.exp(theta)
+        err = np.sqrt(np.maximum(1 / np.maximum(-b, 1e-12) - 1 / n, 0.5 / m))
     return np.where(filled > 0, n, 0.0), np.where(filled > 0, err, 0.0)
 
 
@@ -85,19 +88,21 @@ def _counts(hist: DataFrame, keys: Sequence[str], m_bits: int, base: float) -> D
     m, schema = 2**m_bits, [f for f in hist.schema.fields if f.name in keys]
     keys = [f.name for f in schema]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = np.zeros((len(b), TOP + 2))
-            for i, h in enumerate(b["h"]):
-                for r in h:
-                    c[i, r["reg"]] = r["n"]
+            if not b.num_rows:
+                continue
+            c = np.zeros((b.num_rows, TOP + 2))
+            h = b.column(len(keys))
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(h).to_numpy(zero_copy_only=False))
+            flat = h.flatten()
+            c[row, flat.field("reg").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
             c[:, 0] = m - c[:, 1:].sum(1)
-            out = b[keys].copy()
-            out["n_distinct"], out["rel_error"] = _count(c, m, base) if len(b) else ([], [])
-            yield out
+            n, err = _count(c, m, base)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(n), pa.array(err)], [*keys, "n_distinct", "rel_error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_distinct double, rel_error double"
-    return hist.mapInPandas(run, ddl)
+    return hist.select(*keys, "h").mapInArrow(run, ddl)
 
 
 def count(sketches: DataFrame, keys: Sequence[str], m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
@@ -157,7 +162,14 @@ def _joint(ra: np.ndarray, rb: np.ndarray, n: np.ndarray, m: int, base: float, a
     union = x.sum()
     jac, gr = x[2] / union, np.array([-x[2], -x[2], union - x[2]]) / union**2
     var = lambda q: math.sqrt(max(float(q @ cov @ q), 0.0))
-    return {"n_union": union, "n_union_error": var(np.ones(3)), "n_both": x[2], "n_both_error": var(np.array([0, 0, 1.0])), "jaccard": jac, "jaccard_error": var(gr)}
+    # Near an empty intersection the curvature says little: how far up does the likelihood stay within half a unit?
+    at_ = lambda v: ll(np.log(np.maximum([x[0] + x[2] - v, x[1] + x[2] - v, v], 1e-3) / m))
+    lo, hi, top = x[2], min(x[0], x[1]) + x[2], at_(x[2])
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if at_(mid) > top - 0.5 else (lo, mid)
+    both_error = max(var(np.array([0, 0, 1.0])), lo - x[2])
+    return {"n_union": union, "n_union_error": var(np.ones(3)), "n_both": x[2], "n_both_error": both_error, "jaccard": jac, "jaccard_error": max(var(gr), both_error / union)}
 
 
 JOINT = "key_a string, key_b string, n_a double, n_b double, n_union double, n_union_error double, n_both double, n_both_error double, jaccard double, jaccard_error double"
@@ -179,13 +191,13 @@ def joint(sketches: DataFrame, key: str, m_bits: int = M_BITS, base: float = BAS
     for side in "ab":
         j = j.join(one.select(F.col("k").alias(f"key_{side}"), F.col("h").alias(f"h_{side}")), f"key_{side}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                cells = {(x["ra"], x["rb"]): x["n"] for x in r.h}
+            for d in b.to_pylist():
+                cells = {(x["ra"], x["rb"]): x["n"] for x in d["h"]}
                 c, n0 = {}, []
-                for side, hist in (("a", r.h_a), ("b", r.h_b)):
+                for side, hist in (("a", d["h_a"]), ("b", d["h_b"])):
                     c[side] = np.zeros((1, TOP + 2))
                     for x in hist:
                         c[side][0, x["reg"]] = x["n"]
@@ -199,7 +211,8 @@ def joint(sketches: DataFrame, key: str, m_bits: int = M_BITS, base: float = BAS
                     n0.append(float(_count(c[side], m, base)[0][0]))
                 cells[0, 0] = m - sum(cells.values())
                 ra, rb = (np.array([x[i] for x in cells]) for i in (0, 1))
-                rows.append({"key_a": r.key_a, "key_b": r.key_b, "n_a": n0[0], "n_b": n0[1]} | _joint(ra, rb, np.array(list(cells.values()), float), m, base, *n0))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in JOINT.split(", ")])
+                rows.append({"key_a": d["key_a"], "key_b": d["key_b"], "n_a": n0[0], "n_b": n0[1]} | _joint(ra, rb, np.array(list(cells.values()), float), m, base, *n0))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
 
-    return j.mapInPandas(run, JOINT)
+    return j.mapInArrow(run, JOINT)
