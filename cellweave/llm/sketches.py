@@ -106,11 +106,11 @@ def _counts(hist: DataFrame, keys: Sequence[str], m_bits: int, base: float) -> D
 
 
 def count(sketches: DataFrame, keys: Sequence[str], m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
-    """(keys, n_distinct, rel_error, lower, upper): estimate, its standard error from the curvature of the likelihood, and the band of two of them."""
+    """(keys, n_distinct, rel_error, lower, upper): estimate, its standard error from the curvature of the likelihood, and the band of three of them."""
     hist = sketches.groupBy(*keys, "reg").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.collect_list(F.struct("reg", "n")).alias("h"))
     out = _counts(hist, keys, m_bits, base)
     n, e = F.col("n_distinct"), F.col("rel_error")
-    return out.withColumns({"lower": n * F.exp(-2 * e), "upper": n * F.exp(2 * e)})
+    return out.withColumns({"lower": n * F.exp(-3 * e), "upper": n * F.exp(3 * e)})
 
 
 def _joint(ra: np.ndarray, rb: np.ndarray, n: np.ndarray, m: int, base: float, a0: float, b0: float) -> dict:
