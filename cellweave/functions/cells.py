@@ -44,12 +44,15 @@ def coarsen(cell: Column | str, res: int) -> Column:
 
 
 def ancestors(cell: Column | str, levels: Iterable[int], proper: bool = False) -> Column:
-    """Array of the ancestors at the given resolutions that are not finer than the cell (``proper``: coarser)."""
+    """Array of the ancestors at the given resolutions, NULL at those finer than the cell (``proper``: not coarser).
+
+    Made to be exploded and joined: NULL joins nothing, and without a lambda the whole stays in generated code.
+    """
     c, ls = _c(cell), sorted(set(levels))
     if not ls:
         return F.array().cast("array<bigint>")
     keep = [F.when((resolution(c) > r) if proper else (resolution(c) >= r), parent(c, r)) for r in ls]
-    return F.array_compact(F.array(*keep))
+    return F.array(*keep)
 
 
 def area_m2(cell: Column | str) -> Column:

@@ -37,10 +37,10 @@ def shared_area(sources: DataFrame, features: DataFrame) -> DataFrame:
     return up.select(*cols).unionByName(down.select(*cols)).groupBy("src_id", "feature_id").agg(F.sum("m2").alias("shared_m2"))
 
 
-def neighbours(sources: DataFrame, features: DataFrame) -> DataFrame:
-    """shared_area with the source's category and the target's UUID, NAME, OBJEKTART and own size."""
+def neighbours(sources: DataFrame, features: DataFrame, sizes: bool = True) -> DataFrame:
+    """shared_area with the source's category and the target's UUID, NAME, OBJEKTART and, for fillers, own size."""
     size = F.aggregate(F.transform(F.array_distinct("h3_cells"), lambda c: F.coalesce(C.area_m2(c), F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    t = features.select("feature_id", "UUID", "NAME", "OBJEKTART", size.alias("own_m2"))
+    t = features.select("feature_id", "UUID", "NAME", "OBJEKTART", *[size.alias("own_m2")] * sizes)
     return shared_area(sources, features).join(t, "feature_id").join(sources.select("src_id", "src_cat"), "src_id")
 
 
@@ -107,7 +107,7 @@ def filler(near: DataFrame, taken: DataFrame, sources: DataFrame, cfg: SentenceC
 
 def contexts(sources: DataFrame, features: DataFrame, matrix: DataFrame, cfg: SentenceConfig) -> DataFrame:
     """(src_id, src_name, src_cat, static_context, context, filler, categories_used), one row per source, empty arrays where there is nothing."""
-    near = written(neighbours(sources, features))
+    near = written(neighbours(sources, features, cfg.max_filler_slots > 0))
     assoc = A.without_static(A.associated(matrix, cfg.assoc_threshold, cfg.max_categories), [s.objektart for s in cfg.static_slots])
     taken = allocate(near, assoc, cfg)
     if cfg.max_filler_slots > 0:

@@ -134,12 +134,12 @@ def intersecting_features(spark, d):
 
 
 def overlap_static_topk(spark, d):
-    near = X.neighbours(_sources(spark, d), t(spark, d, "features"))
+    near = X.neighbours(_sources(spark, d), t(spark, d, "features"), sizes=False)
     return X.static_topk(near, CONFIG.static_slots).select("src_id", "label", "pos", "feature_id", "NAME")
 
 
 def slot_allocation(spark, d):
-    near = written(X.neighbours(_sources(spark, d), t(spark, d, "features")))
+    near = written(X.neighbours(_sources(spark, d), t(spark, d, "features"), sizes=False))
     assoc = A.without_static(A.associated(_matrix(spark, d)), [s.objektart for s in CONFIG.static_slots])
     return X.allocate(near, assoc, CONFIG).select("src_id", "OBJEKTART", "feature_id", "u_rank")
 
