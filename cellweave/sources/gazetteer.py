@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..cellsystem import CellSystem, ContainmentMode, PlanarGrid
 from ..config import BuildConfig
+from ..operators.stage import written
 
 log = logging.getLogger(__name__)
 
@@ -82,7 +83,8 @@ def dense_ids(df: DataFrame, order: list, name: str = "feature_id") -> DataFrame
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    # Written once: the sampled bounds of the ranges differ from job to job, and counts and rows must agree on them.
+    part = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     ranked = part.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts, off, at = dict(part.groupBy("__part").count().collect()), {}, 0
     for p in sorted(counts):
