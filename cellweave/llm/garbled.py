@@ -3,12 +3,15 @@
 The garbled sequences of a repertoire of characters are computed for all encoding pairs, for one round and for more,
 as written and in the other letter case. One automaton finds them all in a pass; only matched spans are replaced.
 Pairs of one-byte encodings give single characters, which may as well be meant: there the sequence is taken for
-garbled only in a word where it can't stand, and if one encoding pair makes the whole word readable.
+garbled only in a word where it can't stand, and if one encoding pair makes the whole word readable. What is left is
+compared with the words of all names: a word is garbled if some one-byte pair turns it into one that occurs in other
+names and has fewer characters out of place, or as few and is far more frequent.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stage import written
+
 # The letters and signs that names of the region are written with, the most frequent first.
 HOME = "üäöéèàêâôçîûëïùòìœÜÄÖÉÈÀÊÂÔÇÎÛŒß’–«»„“…°²³½¼¾ ̈"
 #: Further characters whose UTF-8 bytes are looked for: Latin letters, Greek, Cyrillic, combining accents, signs.
@@ -23,6 +28,10 @@ WIDER = [*range(0xA0, 0x180), *range(0x300, 0x315), *range(0x386, 0x3CF), *range
 WIDE_READ = ("cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp858")
 #: (written as, read as) of one-byte encodings.
 NARROW = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "latin-1"))
+#: Encodings of one byte a character; every pair of them is tried against the words of all names.
+ONE_BYTE = WIDE_READ
+#: As many times more often must a word occur that is no better spelt than the one it is to replace.
+FAR_MORE = 10
 LOST = "�"
 #: Single characters that are rightly there beside digits or alone.
 BESIDE_DIGITS = set("²³¹½¼¾°ºª")
@@ -220,22 +229,134 @@ def repair(name: str | None) -> tuple[bool, str | None, bool]:
     return found or not complete, new, complete
 
 
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][0-9A-Za-z\x80-\U0010ffff]*")
+#: Signs that stand beside letters: quotes, apostrophes, dashes, ellipsis, middle dot, ordinals.
+BESIDE_LETTERS = set("«»„“”‚‘’–—…·ªº")
+
+
+def shape(word: str) -> str:
+    """The word as it is counted: digits don't tell words apart."""
+    return re.sub("[0-9]+", "0", word)
+
+
+def misplaced(word: str) -> int:
+    """The number of characters that can't stand where they do, in a word of any one script."""
+    n, latin = 0, re.search("[A-Za-z]", word)
+    for i, c in enumerate(word):
+        if c.isascii():
+            continue
+        left, right, kind = word[i - 1 : i] if i else "", word[i + 1 : i + 2], unicodedata.category(c)
+        if kind in ("Cc", "Co", "Cn") or "\u2500" <= c <= "\u25ff":
+            n += 1
+        elif c.isalpha() and c not in "ªº":
+            other = latin and not unicodedata.name(c, "").startswith("LATIN")
+            n += bool(other or left.isdigit() or right.isdigit() or c.isupper() and left.islower() or c.islower() and left.isupper() and right.isupper())
+        elif kind[0] in "SN" and c != "\u0308":
+            n += left.isalpha() or right.isalpha()
+        elif kind == "Po" and c not in BESIDE_LETTERS:
+            n += left.isalpha()
+    return n
+
+
+def _bytes(word: str, enc: str) -> bytes | None:
+    """The bytes that were read as word; the reverse of _read."""
+    try:
+        return word.encode(enc)
+    except UnicodeEncodeError:
+        if enc != "cp1252":
+            return None
+    try:
+        return b"".join(c.encode("latin-1") if c in "\x81\x8d\x8f\x90\x9d" else c.encode(enc) for c in word)
+    except UnicodeEncodeError:
+        return None
+
+
+def readings(word: str) -> dict[str, int]:
+    """What may have been written -> the number of the pair of one-byte encodings (read as, written as)."""
+    out: dict[str, int] = {}
+    for r, read in enumerate(ONE_BYTE):
+        if (b := _bytes(word, read)) is None:
+            continue
+        for w, wrote in enumerate(ONE_BYTE):
+            if w != r and (v := _read(b, wrote)) and v != word:
+                out.setdefault(v, r * len(ONE_BYTE) + w)
+    return out
+
+
+def _reread(word: str, pair: int) -> str | None:
+    r, w = divmod(pair, len(ONE_BYTE))
+    b = _bytes(word, ONE_BYTE[r])
+    return None if b is None else _read(b, ONE_BYTE[w])
+
+
+def _repaired(names: DataFrame) -> DataFrame:
+    """(name, n, found, restored, complete) of distinct names (name, n), each by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [repair(s) for s in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.bool_())], ["name", "n", "found", "restored", "complete"])
+
+    return names.mapInArrow(run, "name string, n bigint, found boolean, restored string, complete boolean")
+
+
+def _by_words(names: DataFrame) -> DataFrame:
+    """(name, restored) of the names (name, n) that hold a word garbled by a one-byte pair, as the words of all these names show."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(s, n, w) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in dict.fromkeys(map(shape, WORD.findall(s)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["name", "n", "word"])
+
+    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                m = misplaced(w)
+                rows += [(w, n, v, pair, m - k) for v, pair in readings(w).items() if (k := misplaced(v)) <= m]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["word", "n", "meant", "pair", "gain"])
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            new = pa.array([_restored(s, o) for s, o in zip(names, b.column(1).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), new], ["name", "restored"])
+
+    parts = written(names.select("name", "n").mapInArrow(split, "name string, n bigint, word string"))
+    words = written(parts.groupBy("word").agg(F.sum("n").alias("n")))
+    seen = words.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
+    tries = words.mapInArrow(reread, "word string, n bigint, meant string, pair int, gain int").join(seen, "meant").where("n_meant >= n or gain > 0")
+    sure = (F.col("gain") > 0) | (F.col("n_meant") >= FAR_MORE * F.col("n"))
+    offers = tries.groupBy("word").agg(F.collect_list(F.struct(sure.alias("sure"), "gain", "n_meant", "pair")).alias("offers"))
+    own = parts.join(offers, "word").groupBy("name").agg(F.collect_list(F.struct("word", "offers")).alias("words"))
+    some = own.where(F.exists("words", lambda w: F.exists(w["offers"], lambda o: o["sure"])))
+    return some.mapInArrow(restore, "name string, restored string")
+
+
+def _restored(name: str, words: list[dict]) -> str:
+    """By the pair that makes the most words right; words that no pair is sure of follow the one chosen."""
+    votes: dict[int, tuple[int, int, int]] = {}
+    for w in words:
+        for o in w["offers"]:
+            if o["sure"]:
+                k, gain, n = votes.get(o["pair"], (0, 0, 0))
+                votes[o["pair"]] = (k + 1, gain + o["gain"], n + o["n_meant"])
+    order = sorted(votes, key=lambda p: (*[-x for x in votes[p]], p))
+    new = {}
+    for w in words:
+        pairs = {o["pair"]: o["sure"] for o in w["offers"]}
+        pair = next((p for p in order if p in pairs and (p == order[0] or pairs[p])), None)
+        if pair is not None:
+            new[w["word"]] = pair
+    return WORD.sub(lambda m: (_reread(m[0], new[shape(m[0])]) or m[0]) if shape(m[0]) in new else m[0], name)
+
+
 def find(df: DataFrame, id_col: str = "feature_id", text: str = "NAME") -> DataFrame:
     """(id, name, restored, complete) of the rows whose text is garbled in whole or in part.
 
-    NULL, empty and ASCII texts are no cases and never leave the JVM. Restored text is NULL where nothing could be had
-    back; ``complete`` is false where letters were lost.
+    NULL, empty and ASCII texts are no cases and never leave the JVM. Each distinct text is looked at once. Restored
+    text is NULL where nothing could be had back; ``complete`` is false where letters were lost.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.column(1).to_pylist()
-            got = {s: repair(s) for s in set(names)}
-            keep = [k for k, s in enumerate(names) if got[s][0]]
-            if keep:
-                hit = [names[k] for k in keep]
-                new = pa.array([got[s][1] if got[s][1] != s else None for s in hit], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(hit, pa.string()), new, pa.array([got[s][2] for s in hit])], ["id", "name", "restored", "complete"])
-
-    kind = df.schema[id_col].dataType.simpleString()
     own = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).alias("id"), F.col(text).alias("name"))
-    return own.mapInArrow(run, f"id {kind}, name string, restored string, complete boolean").withColumnRenamed("id", id_col)
+    names = written(_repaired(own.groupBy("name").agg(F.count("*").alias("n"))))
+    alone = names.where("found").select("name", F.when(F.col("restored") != F.col("name"), F.col("restored")).alias("restored"), "complete")
+    bad = alone.unionByName(_by_words(names.where("not found")).withColumn("complete", F.lit(True)))
+    return own.join(bad, "name").select(F.col("id").alias(id_col), "name", "restored", "complete")
