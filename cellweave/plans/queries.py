@@ -216,6 +216,16 @@ def multires_intersection(spark, d):
     return m.where("fine_key <> coarse_key")
 
 
+def multires_union_all(spark, d):
+    """multires_union of every category."""
+    return _cover(spark, d)
+
+
+def multires_intersection_all(spark, d):
+    """multires_intersection of every pair of categories."""
+    return S.matches(written(_cover(spark, d)), "category").where("fine_key <> coarse_key")
+
+
 def cosine_resolve(spark, d):
     """For every vector whose id is divisible by 50 the most similar other one, at least min_similarity."""
     e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
@@ -248,7 +258,7 @@ QUERIES = [
     source_discovery, feature_scan_union, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
     npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
     slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
-    cell_parent, cell_resolution, multires_union, multires_intersection, cosine_resolve, p4_found, p7_found, p7_keys,
+    cell_parent, cell_resolution, multires_union, multires_intersection, multires_union_all, multires_intersection_all, cosine_resolve, p4_found, p7_found, p7_keys,
 ]
 
 
