@@ -55,11 +55,14 @@ def text_parts(raw: str | None) -> list[str]:
     if not raw:
         return []
     out: list[str] = []
-    _walk(raw.replace("\r\n", "\n").replace("\r", "\n"), out, 0)
+    blocks = [raw.replace("\r\n", "\n").replace("\r", "\n")]
+    while blocks:  # each block is longer than those in it, so it ends
+        blocks += reversed(_parts(blocks.pop(), out))
     return [UNSEEN.sub("", x) if not x.isascii() else x for x in out if x]
 
 
-def _walk(block: str, out: list[str], depth: int) -> None:
+def _parts(block: str, out: list[str]) -> list[str]:
+    """The blocks nested in this one; the text of one that has none goes to out."""
     head, body = "", block
     if FIRST.match(block):
         cut = block.find("\n\n")
@@ -71,22 +74,17 @@ def _walk(block: str, out: list[str], depth: int) -> None:
     f = {k.lower(): v for k, v in FIELD.findall(head)}
     kind, how = f.get("content-type", "").strip(), f.get("content-transfer-encoding", "").strip().lower()
     low = kind.lower()
-    if depth < 8:
-        m = BOUNDARY.search(kind) if low.startswith("multipart/") else None
-        mark = (m[1] or m[2] or "").strip() if m else ""
-        if not mark or f"--{mark}" not in body:
-            m = LOOSE.search(body) if low.startswith("multipart/") or not low else None
-            mark = m[1] if m else ""
-        if mark:
-            for k, p in enumerate(re.split(rf"^--{re.escape(mark)}(--)?[ \t]*(?:\n|\Z)", body, flags=re.M)[::2]):
-                if k and p.strip():
-                    _walk(p, out, depth + 1)
-            return
-        if low.startswith("message/rfc822"):
-            _walk(body, out, depth + 1)
-            return
+    m = BOUNDARY.search(kind) if low.startswith("multipart/") else None
+    mark = (m[1] or m[2] or "").strip() if m else ""
+    if not mark or f"--{mark}" not in body:
+        m = LOOSE.search(body) if low.startswith("multipart/") or not low else None
+        mark = m[1] if m else ""
+    if mark:
+        return [p for p in re.split(rf"^--{re.escape(mark)}(--)?[ \t]*(?:\n|\Z)", body, flags=re.M)[2::2] if p.strip()]
+    if low.startswith("message/rfc822"):
+        return [body]
     if low and not low.startswith(("text/", "multipart/")):
-        return
+        return []
     m = CHARSET.search(kind)
     charset = m[1] if m else "utf-8"
     if how.startswith("quoted"):
@@ -102,3 +100,4 @@ def _walk(block: str, out: list[str], depth: int) -> None:
     if low.startswith("text/html") or not low and re.match(r"\s*<(?:!doctype|html)", body, re.I):
         body = plain(body)
     out.append(body)
+    return []
