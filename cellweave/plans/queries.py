@@ -20,6 +20,7 @@ from ..operators import resolve as R
 from ..operators import skew as K
 from ..operators.stage import written
 from ..sources import gazetteer as G
+from ..sources import matrix as M
 
 #: A lower threshold than the default, as the test categories are nearly independent.
 CONFIG = BuildConfig.for_gazetteer("swissnames3d").sentence
@@ -111,6 +112,12 @@ def matrix_pivot(spark, d):
     return m.groupBy("cat_a").pivot("cat_b", WIDE).agg(F.first("b1"))
 
 
+def matrix_pivot_all(spark, d):
+    """matrix_pivot with a column for every category."""
+    f = t(spark, d, "features")
+    return M.pivot(_matrix(spark, d).withColumn("b1", F.round("b1", 6)), "b1", A.collect_categories(f))
+
+
 def associated_categories(spark, d):
     return A.associated(_matrix(spark, d)).select("cat_a", "cat_b", F.round("b1", 6).alias("b1"), "assoc_rank")
 
@@ -256,7 +263,7 @@ def p7_found(spark, d):
 
 QUERIES = [
     source_discovery, feature_scan_union, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
-    npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
+    npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, matrix_pivot_all, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
     slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
     cell_parent, cell_resolution, multires_union, multires_intersection, multires_union_all, multires_intersection_all, cosine_resolve, p4_found, p7_found, p7_keys,
 ]

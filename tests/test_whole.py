@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from cellweave import PlanarGrid
+from cellweave.operators.association import compute_all
 from cellweave.plans import queries as Q
 
 G = PlanarGrid()
@@ -40,3 +43,12 @@ def test_union_and_intersection_of_all_categories(spark, tmp_path):
     got = [tuple(r) for r in Q.queries()["multires_intersection_all"](spark, str(tmp_path)).collect()]
     want = [(a, b, c, at != c) for a in sets for b in sets if a != b for c in sets[a] for at in {c, *above(c)} & sets[b]]
     assert sorted(got) == sorted(want) and {x[3] for x in want} == {True, False} and len({x[:2] for x in want}) > 6
+
+
+def test_pivot_of_all_categories(spark, tmp_path):
+    sets = multires(tmp_path, spark)
+    got = Q.queries()["matrix_pivot_all"](spark, str(tmp_path))
+    assert got.columns == ["cat_a", *sorted([*sets])]
+    want = {(r.cat_a, r.cat_b): r.b1 for r in compute_all(spark.read.parquet(f"{tmp_path}/features.parquet")).collect()}
+    rows = {r.cat_a: r for r in got.collect()}
+    assert len(want) == len(sets) ** 2 and all(rows[a][b] == (v if v is None else pytest.approx(v, abs=1e-6)) for (a, b), v in want.items())
