@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..cellsystem import PlanarGrid
 from ..functions import cells as C
 from . import cellsets as S
+from .stage import written
 
 
 def near(points: DataFrame, radius: float, id_col: str = "id", split: int = 2) -> DataFrame:
@@ -64,12 +65,16 @@ def inside(points: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def coverage(polygons: DataFrame, min_resolution: int = 5, max_resolution: int = 11) -> DataFrame:
-    """(region_id, cell, interior) of polygons (region_id, wkb). Shapes that can't be read cover nothing."""
+    """(region_id, cell, interior) of polygons (region_id, wkb). Shapes that can't be read, and lines and points, cover nothing."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..functions.geometry import read_wkb
+
         grid = PlanarGrid()
         for b in batches:
             for i, w in zip(b["region_id"], b["wkb"]):
                 try:
+                    if not read_wkb(bytes(w)).polygons:
+                        continue
                     got = grid.adaptive(bytes(w), min_resolution, max_resolution)
                 except (ValueError, TypeError):
                     continue
@@ -81,7 +86,7 @@ def coverage(polygons: DataFrame, min_resolution: int = 5, max_resolution: int =
 def inside_polygons(points: DataFrame, polygons: DataFrame, max_resolution: int = 11) -> DataFrame:
     """(id, region_id): points (id, x, y) in polygons (region_id, wkb). Matches in boundary cells alone are tested exactly."""
     p = points.withColumn("cell", C.at(F.col("x"), F.col("y"), 13)).where("cell is not null")
-    hit = inside(p.select("id", "cell"), coverage(polygons, max_resolution=max_resolution))
+    hit = inside(p.select("id", "cell"), written(coverage(polygons, max_resolution=max_resolution)))
     sure = hit.where("interior").select("id", "region_id")
     edge = hit.where("not interior").join(p.select("id", "x", "y"), "id").join(polygons.select("region_id", "wkb"), "region_id")
 

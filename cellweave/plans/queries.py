@@ -48,8 +48,12 @@ def feature_scan_union(spark, d):
     return G.scan_all(names, lambda n: raw.where(F.col("source") == n)).drop("geometry")
 
 
+def _raw_ids(spark, d):
+    return G.dense_ids(t(spark, d, "raw_features"), ["source", "UUID", "NAME", "OBJEKTART", "geometry"])
+
+
 def feature_ids(spark, d):
-    return G.dense_ids(t(spark, d, "raw_features"), ["source", "UUID", "NAME", "OBJEKTART", "geometry"]).drop("geometry")
+    return _raw_ids(spark, d).drop("geometry")
 
 
 def geometry_cover(spark, d):
@@ -252,6 +256,15 @@ def p4_found(spark, d):
     return N.near_or_inside(t(spark, d, "features"))
 
 
+def p4_inside_polygons(spark, d):
+    """(feature_id, region_id): locations in the polygons of raw_features, whose ids are those of feature_ids."""
+    at = N.locations(t(spark, d, "features"))
+    x, y = C.grid_xy("cell")
+    points = at.select(F.col("feature_id").alias("id"), ((x + 0.5) * 32 + 2_400_000).alias("x"), ((y + 0.5) * 32 + 1_000_000).alias("y"))
+    polygons = written(_raw_ids(spark, d).select(F.col("feature_id").alias("region_id"), F.col("geometry").alias("wkb")))
+    return N.inside_polygons(points, polygons).withColumnRenamed("id", "feature_id")
+
+
 def p7_keys(spark, d):
     return K.category_load(t(spark, d, "features"))
 
@@ -265,7 +278,7 @@ QUERIES = [
     source_discovery, feature_scan_union, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
     npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, matrix_pivot_all, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
     slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
-    cell_parent, cell_resolution, multires_union, multires_intersection, multires_union_all, multires_intersection_all, cosine_resolve, p4_found, p7_found, p7_keys,
+    cell_parent, cell_resolution, multires_union, multires_intersection, multires_union_all, multires_intersection_all, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
 ]
 
 

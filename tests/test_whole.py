@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from test_cells import wkb_point, wkb_polygon
 
 from cellweave import PlanarGrid
+from cellweave.functions.geometry import read_wkb
 from cellweave.operators.association import compute_all
 from cellweave.plans import queries as Q
 
@@ -52,3 +55,23 @@ def test_pivot_of_all_categories(spark, tmp_path):
     want = {(r.cat_a, r.cat_b): r.b1 for r in compute_all(spark.read.parquet(f"{tmp_path}/features.parquet")).collect()}
     rows = {r.cat_a: r for r in got.collect()}
     assert len(want) == len(sets) ** 2 and all(rows[a][b] == (v if v is None else pytest.approx(v, abs=1e-6)) for (a, b), v in want.items())
+
+
+def test_locations_in_all_polygons(spark, tmp_path):
+    rng = random.Random(7)
+
+    def ring(x, y, r):
+        a = [(x + rng.uniform(0.3, 1) * r * np.cos(k / 9 * 2 * np.pi), y + rng.uniform(0.3, 1) * r * np.sin(k / 9 * 2 * np.pi)) for k in range(9)]
+        return [(float(x), float(y)) for x, y in [*a, a[0]]]
+
+    shapes = [wkb_polygon([ring(2_701_000 + rng.uniform(-900, 900), 1_001_000 + rng.uniform(-900, 900), rng.choice([200, 1500]))]) for _ in range(12)]
+    raw = [(f"u{k}", "x", "Wald", g, "namen_fl") for k, g in enumerate([*shapes, shapes[0], wkb_point(2_701_000, 1_001_000), b"bad", None])]
+    spark.createDataFrame(raw, "UUID string, NAME string, OBJEKTART string, geometry binary, source string").write.parquet(f"{tmp_path}/raw_features.parquet")
+    at = {i: G.cell(1, rng.randrange(64), rng.randrange(64), 13) for i in range(300)}
+    spark.createDataFrame([(i, "Turm", [c]) for i, c in at.items()] + [(900, "Turm", None), (901, "Turm", [G.cell(1, 0, 0, 12)])], "feature_id long, OBJEKTART string, h3_cells array<bigint>").write.parquet(f"{tmp_path}/features.parquet")
+    ids = {r.UUID: r.feature_id for r in Q.queries()["feature_ids"](spark, str(tmp_path)).collect()}
+    own = {i: [G.box(c)[k] + 16 for k in (0, 1)] for i, c in at.items()}
+    x, y = (np.array([p[k] for p in own.values()]) for k in (0, 1))
+    want = sorted((i, ids[u]) for u, _, _, g, _ in raw[:13] for i, k in zip(own, read_wkb(g).contains(x, y)) if k)
+    got = [tuple(r) for r in Q.queries()["p4_inside_polygons"](spark, str(tmp_path)).select("feature_id", "region_id").collect()]
+    assert sorted(got) == want and len(want) > 100
