@@ -182,15 +182,20 @@ def sentence_filler(spark, d):
     return _sentences(spark, d, FILLED)
 
 
-def _references(spark, d):
-    c = t(spark, d, "candidates").where("doc_id % 50 = 0")
+def _references(c):
     hit = F.when(F.col("similarity") >= 0.6, F.col("location_id_value"))
     return c, c.where("doc_id is not null and ref_idx is not null").groupBy("doc_id", "ref_idx", "mention").agg(F.max(hit).alias("result"))
 
 
 def gather_candidates(spark, d):
     """New candidates of references that have no result yet, by exact name."""
-    c, refs = _references(spark, d)
+    c, refs = _references(t(spark, d, "candidates").where("doc_id % 50 = 0"))
+    return R.gather(refs, R.search(refs, t(spark, d, "features")), c.withColumnRenamed("location_id_value", "UUID"))
+
+
+def gather_candidates_all(spark, d):
+    """gather_candidates for the references of every document."""
+    c, refs = _references(t(spark, d, "candidates"))
     return R.gather(refs, R.search(refs, t(spark, d, "features")), c.withColumnRenamed("location_id_value", "UUID"))
 
 
@@ -210,6 +215,12 @@ def description_fallback(spark, d):
     return R.ContextResolver(f, _matrix(spark, d), CONFIG).describe(c).select("candidate_id", "feature_id", "description")
 
 
+def description_all(spark, d):
+    """description_fallback of every candidate."""
+    f = t(spark, d, "features")
+    return R.ContextResolver(f, _matrix(spark, d), CONFIG).describe(t(spark, d, "candidates")).select("candidate_id", "feature_id", "description")
+
+
 def cell_parent(spark, d):
     return t(spark, d, "h3_lookup").where("cell is not null").select("feature_id", "cell", C.parent("cell", 9).alias("parent_9"), C.parent("cell", 5).alias("parent_5"))
 
@@ -277,7 +288,7 @@ def p7_found(spark, d):
 QUERIES = [
     source_discovery, feature_scan_union, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
     npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, matrix_pivot_all, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
-    slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
+    slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, gather_candidates_all, candidates_to_embed, resolve_best, description_fallback, description_all,
     cell_parent, cell_resolution, multires_union, multires_intersection, multires_union_all, multires_intersection_all, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
 ]
 

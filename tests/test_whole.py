@@ -75,3 +75,25 @@ def test_locations_in_all_polygons(spark, tmp_path):
     want = sorted((i, ids[u]) for u, _, _, g, _ in raw[:13] for i, k in zip(own, read_wkb(g).contains(x, y)) if k)
     got = [tuple(r) for r in Q.queries()["p4_inside_polygons"](spark, str(tmp_path)).select("feature_id", "region_id").collect()]
     assert sorted(got) == want and len(want) > 100
+
+
+def test_candidates_of_all_documents(spark, tmp_path):
+    feats = [(i, f"u{i % 9}" if i % 5 else None, f"n{i % 4}", "Turm", [G.cell(4, i % 3, 0, 11)]) for i in range(24)]
+    rng = random.Random(8)
+    cands = [(k, rng.randrange(60), rng.randrange(2), f"n{rng.randrange(5)}", rng.choice([f"u{rng.randrange(12)}", None]), rng.choice([0.2, 0.5, 0.9, None])) for k in range(120)]
+    spark.createDataFrame(feats, "feature_id long, UUID string, NAME string, OBJEKTART string, h3_cells array<bigint>").write.parquet(f"{tmp_path}/features.parquet")
+    spark.createDataFrame(cands, "candidate_id long, doc_id long, ref_idx int, mention string, location_id_value string, similarity double").write.parquet(f"{tmp_path}/candidates.parquet")
+    refs, has = {}, set()
+    for _, d, r, m, u, s in cands:
+        refs[d, r, m] = refs.get((d, r, m), False) or bool(u and s and s >= 0.6)
+        has.add((d, r, u))
+    want = [(d, r, u, i) for (d, r, m), done in refs.items() if not done for i, u, n, *_ in feats if n == m and (u is None or (d, r, u) not in has)]
+    got = [tuple(x) for x in Q.queries()["gather_candidates_all"](spark, str(tmp_path)).select("doc_id", "ref_idx", "UUID", "feature_id").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({x[0] for x in want}) > 20
+    first = {}
+    for i, u, *_ in feats:
+        if u:
+            first.setdefault(u, i)
+    rows = Q.queries()["description_all"](spark, str(tmp_path)).collect()
+    assert {(r.candidate_id, r.feature_id) for r in rows} == {(k, first.get(u)) for k, _, _, _, u, _ in cands} and len(rows) == 120
+    assert all(r.description == cands[r.candidate_id][3] for r in rows if r.feature_id is None) and all(r.description.startswith(f"n{r.feature_id % 4}, Turm") for r in rows if r.feature_id is not None)
