@@ -15,6 +15,13 @@ def levels_of(df: DataFrame, cell: str = "cell") -> list[int]:
     return sorted(r[0] for r in df.select(C.resolution(cell).alias("r")).where("r is not null").distinct().collect())
 
 
+def levels_in(features: DataFrame, cells: str = "h3_cells") -> list[int]:
+    """levels_of the cells of a features table: by its column h3_resolution where there is one, without reading cells."""
+    if "h3_resolution" in features.columns:
+        return sorted(r[0] for r in features.where("h3_resolution is not null").select(F.col("h3_resolution").cast("int")).distinct().collect())
+    return levels_of(features.select(F.explode(cells).alias("cell")))
+
+
 def lookup(features: DataFrame, id_col: str = "feature_id", cells: str = "h3_cells", keep: Sequence[str] = ()) -> DataFrame:
     """Inverted index: distinct (feature_id, cell, cell_res). NULL and empty lists and NULL cells give no row.
 

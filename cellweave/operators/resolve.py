@@ -12,8 +12,8 @@ from . import context as X
 
 def first_per_uuid(features: DataFrame) -> DataFrame:
     """One row per UUID, that of the lowest feature_id; NULL is no UUID."""
-    cols = [c for c in features.columns if c != "UUID"]
-    return features.where("UUID is not null").groupBy("UUID").agg(F.min_by(F.struct(*cols), "feature_id").alias("f")).select("UUID", *[F.col(f"f.{c}").alias(c) for c in cols])
+    w = Window.partitionBy("UUID").orderBy("feature_id")
+    return features.where("UUID is not null").withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row")
 
 
 def lookup_candidates(candidates: DataFrame, features: DataFrame, uuid: str = "location_id_value") -> DataFrame:

@@ -145,21 +145,27 @@ def intersecting_features(spark, d):
 
 
 def overlap_static_topk(spark, d):
-    near = X.neighbours(_sources(spark, d), t(spark, d, "features"), sizes=False)
-    return X.static_topk(near, CONFIG.static_slots).select("src_id", "label", "pos", "feature_id", "NAME")
+    m = X.cell_sets(_sources(spark, d))
+    top = X.static_topk(X.near_sets(m, t(spark, d, "features"), sizes=False), CONFIG.static_slots).withColumnRenamed("src_id", "set_id")
+    return m.select("src_id", "set_id").join(top, "set_id").select("src_id", "label", "pos", "feature_id", "NAME")
+
+
+def _allocated(spark, d, cfg):
+    """(members, near, taken) of the sources."""
+    m = X.cell_sets(_sources(spark, d))
+    near = X.near_sets(m, t(spark, d, "features"), cfg.max_filler_slots > 0)
+    assoc = A.without_static(A.associated(_matrix(spark, d), cfg.assoc_threshold, cfg.max_categories), [s.objektart for s in cfg.static_slots])
+    return m, near, written(X.allocate_classes(near, X.classes_of(m), assoc, cfg))
 
 
 def slot_allocation(spark, d):
-    near = written(X.neighbours(_sources(spark, d), t(spark, d, "features"), sizes=False))
-    assoc = A.without_static(A.associated(_matrix(spark, d)), [s.objektart for s in CONFIG.static_slots])
-    return X.allocate(near, assoc, CONFIG).select("src_id", "OBJEKTART", "feature_id", "u_rank")
+    m, _, taken = _allocated(spark, d, CONFIG)
+    return m.select("src_id", "class_id").join(taken.drop("src_id"), "class_id").select("src_id", "OBJEKTART", "feature_id", "u_rank")
 
 
 def filler_features(spark, d):
-    src = _sources(spark, d)
-    near = written(X.neighbours(src, t(spark, d, "features")))
-    assoc = A.without_static(A.associated(_matrix(spark, d), FILLED.assoc_threshold, FILLED.max_categories), [s.objektart for s in FILLED.static_slots])
-    return X.filler(near, written(X.allocate(near, assoc, FILLED)), src, FILLED).select("src_id", "pos", "feature_id")
+    m, near, taken = _allocated(spark, d, FILLED)
+    return X.filler(near, taken, m, FILLED).select("src_id", "pos", "feature_id")
 
 
 def _sentences(spark, d, cfg):
