@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stage import written
+
 
 def range_split(df: DataFrame, key: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Range partitions on (key, order) at sampled quantiles: a heavy key spans as many partitions as it has rows for."""
@@ -30,6 +32,8 @@ def category_load(features: DataFrame) -> DataFrame:
     return per_key(rows, "objektart", ["n", "feature_id"], {"n_rows": F.count("*"), "sum_cells": F.sum(F.col("n").cast("bigint")), "max_cells": F.max("n")})
 
 
-def heavy(load: DataFrame, total: int, share: float = 0.05) -> DataFrame:
-    """The keys, but for NULL, that hold at least ``share`` of ``total`` rows."""
+def heavy(load: DataFrame, share: float = 0.05) -> DataFrame:
+    """The keys, but for NULL, that hold at least ``share`` of all rows of a category_load, which is written once."""
+    load = written(load)
+    total = load.agg(F.sum("n_rows")).first()[0] or 0
     return load.where(F.col("objektart").isNotNull() & (F.col("n_rows") >= share * total))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CONFIG, FILLED, WIDE
+from .queries import CONFIG, FILLED
 
 
 def parent(c: str, r: str) -> str:
@@ -128,11 +128,10 @@ def sql() -> dict[str, str]:
 
     slots = [s.objektart for s in CONFIG.static_slots]
     full = assoc(CONFIG.assoc_threshold, CONFIG.max_categories, slots)
-    wide = ", ".join(f"max(CASE WHEN cat_b = '{c}' THEN round(b1, 6) + 0.0 END) AS \"{c}\"" for c in WIDE)
-    three = "category IN ('Gemeindegebiet', 'Bezirk', 'Grat')"
     out = {
         "source_discovery": "SELECT s.name, s.location_id_name FROM gaz_source s JOIN gazetteer g ON g.id = s.gazetteer_id WHERE g.name = 'landnamen3d'",
-        "feature_scan_union": "SELECT UUID, NAME, OBJEKTART, source FROM raw_features WHERE geometry IS NOT NULL AND source IN ('namen_pkt', 'namen_lin', 'namen_fl')",
+        "feature_scan_union": "SELECT UUID, NAME, OBJEKTART, source FROM raw_features WHERE geometry IS NOT NULL AND source IN (SELECT name FROM gaz_source)",
+        "feature_scan_tolerant": "SELECT source, count(*) AS n, count(NAME) AS n_named FROM raw_features WHERE geometry IS NOT NULL AND source IN (SELECT name FROM gaz_source) GROUP BY 1",
         "feature_ids": "SELECT row_number() OVER (ORDER BY source NULLS FIRST, UUID NULLS FIRST, NAME NULLS FIRST, OBJEKTART NULLS FIRST, geometry NULLS FIRST) - 1 AS feature_id, UUID, NAME, OBJEKTART, source FROM raw_features",
         "lookup_build": q(LOOKUP, select=f"SELECT feature_id, cell, {res('cell')}::TINYINT AS cell_res FROM lk"),
         "store_counts": q(LOOKUP, select="SELECT 'features' AS what, count(*) AS n FROM features UNION ALL SELECT 'cells', sum(h3_cell_count)::BIGINT FROM features UNION ALL SELECT 'lookup', count(*) FROM lk"),
@@ -144,7 +143,7 @@ def sql() -> dict[str, str]:
         "npmi_matrix": q(MATRIX, select="SELECT cat_a, cat_b, round(npmi, 6) + 0.0 AS npmi FROM m"),
         "b1_matrix": q(MATRIX, select="SELECT cat_a, cat_b, round(b1, 6) + 0.0 AS b1 FROM m"),
         "b2_matrix": q(MATRIX, select="SELECT cat_a, cat_b, round(b2, 6) + 0.0 AS b2 FROM m"),
-        "matrix_pivot": q(MATRIX, select=f"SELECT cat_a, {wide} FROM m GROUP BY 1"),
+        "matrix_pivot": q(MATRIX, "w AS (SELECT cat_a, cat_b, round(b1, 6) + 0.0 AS b1 FROM m)", select="PIVOT w ON cat_b USING max(b1) GROUP BY cat_a"),
         "associated_categories": q(MATRIX, full, select="SELECT cat_a, cat_b, round(b1, 6) + 0.0 AS b1, assoc_rank FROM asc0"),
         "associated_dynamic": q(MATRIX, full, select="SELECT cat_a, cat_b, assoc_rank FROM ass"),
         "slot_allocation_proportional": q(MATRIX, full, select="SELECT cat_a, cat_b, least(5, greatest(0, round_even(b1 / s * 10, 0)))::INT AS slots FROM (SELECT *, sum(b1) OVER (PARTITION BY cat_a) AS s FROM asc0) WHERE s > 0"),
@@ -157,21 +156,21 @@ def sql() -> dict[str, str]:
         "sentence_dynamic": q(sentence(SentenceConfig()), select="SELECT * FROM se"),
         "sentence_full": q(sentence(CONFIG), select="SELECT * FROM se"),
         "sentence_filler": q(sentence(FILLED), select="SELECT * FROM se"),
-        "gather_candidates": """WITH c AS (SELECT * FROM candidates WHERE doc_id % 50 = 0), r AS (SELECT doc_id, ref_idx, mention FROM c WHERE doc_id IS NOT NULL AND ref_idx IS NOT NULL GROUP BY 1, 2, 3
+        "gather_candidates": """WITH c AS (SELECT * FROM candidates), r AS (SELECT doc_id, ref_idx, mention FROM c WHERE doc_id IS NOT NULL AND ref_idx IS NOT NULL GROUP BY 1, 2, 3
           HAVING max(CASE WHEN similarity >= 0.6 THEN location_id_value END) IS NULL) SELECT r.doc_id, r.ref_idx, f.UUID, f.feature_id FROM r JOIN features f ON f.NAME = r.mention
           WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = r.doc_id AND c.ref_idx = r.ref_idx AND c.location_id_value = f.UUID)""",
         "candidates_to_embed": """SELECT DISTINCT candidate_id FROM candidates WHERE candidate_id IS NOT NULL AND NOT coalesce(similarity >= 0.6 AND location_id_value IS NOT NULL, false)
           AND candidate_id NOT IN (SELECT candidate_id FROM candidates WHERE gathered_at < TIMESTAMPTZ '2024-01-15 00:00:00+00' AND candidate_id IS NOT NULL)""",
         "resolve_best": "SELECT doc_id, ref_idx, candidate_id FROM (SELECT doc_id, ref_idx, candidate_id, max(similarity) AS similarity FROM candidates WHERE similarity >= 0.6 GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY similarity DESC, candidate_id NULLS FIRST) = 1",
         "description_fallback": q(
-            "kc AS (SELECT c.candidate_id, c.mention, f.feature_id FROM candidates c LEFT JOIN (SELECT UUID, min(feature_id) AS feature_id FROM features WHERE UUID IS NOT NULL GROUP BY 1) f ON f.UUID = c.location_id_value WHERE c.candidate_id % 50 = 0)",
+            "kc AS (SELECT c.candidate_id, c.mention, f.feature_id FROM candidates c LEFT JOIN (SELECT UUID, min(feature_id) AS feature_id FROM features WHERE UUID IS NOT NULL GROUP BY 1) f ON f.UUID = c.location_id_value)",
             sentence(CONFIG, "feature_id IN (SELECT feature_id FROM kc)"),
             select="SELECT kc.candidate_id, kc.feature_id, coalesce(se.sentence, kc.mention) AS description FROM kc LEFT JOIN se ON se.feature_id = kc.feature_id",
         ),
         "cell_parent": f"SELECT feature_id, cell, CASE WHEN {res('cell')} >= 9 THEN {parent('cell', '9')} END AS parent_9, CASE WHEN {res('cell')} >= 5 THEN {parent('cell', '5')} END AS parent_5 FROM h3_lookup WHERE cell IS NOT NULL",
         "cell_resolution": f"SELECT feature_id, {res('cell')}::INT AS res, ((cell >> 45) & 127)::INT AS base, {m2('cell')} AS area_m2 FROM h3_lookup",
-        "multires_union": q(COVER, select=f"SELECT category, cell FROM cov WHERE {three}"),
-        "multires_intersection": q(COVER, MATCH, select="SELECT fine_key, coarse_key, cell, strict FROM mt WHERE fine_key <> coarse_key AND fine_key IN ('Gemeindegebiet', 'Bezirk', 'Grat') AND coarse_key IN ('Gemeindegebiet', 'Bezirk', 'Grat')"),
+        "multires_union": q(COVER, select="SELECT category, cell FROM cov"),
+        "multires_intersection": q(COVER, MATCH, select="SELECT fine_key, coarse_key, cell, strict FROM mt WHERE fine_key <> coarse_key"),
         "cosine_resolve": """WITH s AS (SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
           SELECT q_id, vec_id, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, vec_id) = 1""",
     }

@@ -1,6 +1,6 @@
 """The named queries of the core. Each takes (spark, folder of Parquet tables).
 
-Searches take as sources every feature, document or candidate whose id is divisible by 50, against all rows.
+Searches for neighbours take as sources every feature whose id is divisible by 50, against all rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from ..sources import matrix as M
 #: A lower threshold than the default, as the test categories are nearly independent.
 CONFIG = BuildConfig.for_gazetteer("swissnames3d").sentence
 FILLED = SentenceConfig(static_slots=CONFIG.static_slots, max_slots=6, max_slots_per_category=2, max_categories=4, max_filler_slots=3)
-#: Categories of the wide matrix query.
-WIDE = ["Alpiner Gipfel", "Bach", "Gemeindegebiet", "Grat", "Kanton", "Strasse", "Waldgebiet"]
+_matrices: dict[tuple[str, str], DataFrame] = {}
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,11 +40,22 @@ def source_discovery(spark, d):
     return G.discover(t(spark, d, "gaz_source"), t(spark, d, "gazetteer"), "landnamen3d")
 
 
-def feature_scan_union(spark, d):
-    """One scan per source of a gazetteer, united."""
+def _scans(spark, d, more=()):
+    """One scan per source of every gazetteer, each by its own name of the id column."""
     raw = t(spark, d, "raw_features")
-    names = [("namen_pkt", "UUID"), ("namen_lin", "UUID"), ("namen_fl", "UUID")]
-    return G.scan_all(names, lambda n: raw.where(F.col("source") == n)).drop("geometry")
+    names = [(r[0], r[1]) for r in t(spark, d, "gaz_source").select("name", "location_id_name").orderBy("name").collect()]
+    ids = dict(names)
+    return G.scan_all([*names, *more], lambda n: raw.where(F.col("source") == n).withColumnRenamed("UUID", ids[n]) if n in ids else t(spark, d, n))
+
+
+def feature_scan_union(spark, d):
+    """The scans of all sources, united."""
+    return _scans(spark, d).drop("geometry")
+
+
+def feature_scan_tolerant(spark, d):
+    """feature_scan_union where a source named by the gazetteer isn't there: it is logged and left out."""
+    return _scans(spark, d, [("verschwunden", "UUID")]).groupBy("source").agg(F.count("*").alias("n"), F.count("NAME").alias("n_named"))
 
 
 def _raw_ids(spark, d):
@@ -96,7 +106,11 @@ def pair_intersection_area(spark, d):
 
 
 def _matrix(spark, d):
-    return A.compute_all(t(spark, d, "features"))
+    """The association table, written once per session and folder, as a store has it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _matrices:
+        _matrices[key] = written(A.compute_all(t(spark, d, "features")))
+    return _matrices[key]
 
 
 def npmi_matrix(spark, d):
@@ -112,12 +126,7 @@ def b2_matrix(spark, d):
 
 
 def matrix_pivot(spark, d):
-    m = _matrix(spark, d).withColumn("b1", F.round("b1", 6))
-    return m.groupBy("cat_a").pivot("cat_b", WIDE).agg(F.first("b1"))
-
-
-def matrix_pivot_all(spark, d):
-    """matrix_pivot with a column for every category."""
+    """The wide matrix, a column for every category."""
     f = t(spark, d, "features")
     return M.pivot(_matrix(spark, d).withColumn("b1", F.round("b1", 6)), "b1", A.collect_categories(f))
 
@@ -194,13 +203,7 @@ def _references(c):
 
 
 def gather_candidates(spark, d):
-    """New candidates of references that have no result yet, by exact name."""
-    c, refs = _references(t(spark, d, "candidates").where("doc_id % 50 = 0"))
-    return R.gather(refs, R.search(refs, t(spark, d, "features")), c.withColumnRenamed("location_id_value", "UUID"))
-
-
-def gather_candidates_all(spark, d):
-    """gather_candidates for the references of every document."""
+    """New candidates of all references that have no result yet, by exact name."""
     c, refs = _references(t(spark, d, "candidates"))
     return R.gather(refs, R.search(refs, t(spark, d, "features")), c.withColumnRenamed("location_id_value", "UUID"))
 
@@ -216,13 +219,7 @@ def resolve_best(spark, d):
 
 
 def description_fallback(spark, d):
-    f = t(spark, d, "features")
-    c = t(spark, d, "candidates").where("candidate_id % 50 = 0")
-    return R.ContextResolver(f, _matrix(spark, d), CONFIG).describe(c).select("candidate_id", "feature_id", "description")
-
-
-def description_all(spark, d):
-    """description_fallback of every candidate."""
+    """Every candidate with the sentence of its feature, else with its mention."""
     f = t(spark, d, "features")
     return R.ContextResolver(f, _matrix(spark, d), CONFIG).describe(t(spark, d, "candidates")).select("candidate_id", "feature_id", "description")
 
@@ -236,21 +233,12 @@ def cell_resolution(spark, d):
 
 
 def multires_union(spark, d):
-    return _cover(spark, d).where(F.col("category").isin("Gemeindegebiet", "Bezirk", "Grat"))
-
-
-def multires_intersection(spark, d):
-    m = S.matches(_cover(spark, d).where(F.col("category").isin("Gemeindegebiet", "Bezirk", "Grat")), "category")
-    return m.where("fine_key <> coarse_key")
-
-
-def multires_union_all(spark, d):
-    """multires_union of every category."""
+    """The union of cells of every category."""
     return _cover(spark, d)
 
 
-def multires_intersection_all(spark, d):
-    """multires_intersection of every pair of categories."""
+def multires_intersection(spark, d):
+    """The cells shared by every pair of categories."""
     return S.matches(written(_cover(spark, d)), "category").where("fine_key <> coarse_key")
 
 
@@ -287,15 +275,14 @@ def p7_keys(spark, d):
 
 
 def p7_found(spark, d):
-    f = t(spark, d, "features")
-    return K.heavy(K.category_load(f), f.count()).select("objektart")
+    return K.heavy(K.category_load(t(spark, d, "features"))).select("objektart")
 
 
 QUERIES = [
-    source_discovery, feature_scan_union, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
-    npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, matrix_pivot_all, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
-    slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, gather_candidates_all, candidates_to_embed, resolve_best, description_fallback, description_all,
-    cell_parent, cell_resolution, multires_union, multires_intersection, multires_union_all, multires_intersection_all, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
+    source_discovery, feature_scan_union, feature_scan_tolerant, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
+    npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
+    slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
+    cell_parent, cell_resolution, multires_union, multires_intersection, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
 ]
 
 

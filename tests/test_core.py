@@ -57,7 +57,7 @@ def test_skewed_keys_are_split(spark):
     load = K.category_load(df)
     got = {r.objektart: (r.n_rows, r.sum_cells, r.max_cells) for r in load.collect()}
     assert got["hot"][0] == 14_000 and got[None][0] == 2_000 and sum(v[0] for v in got.values()) == 20_000
-    assert [r.objektart for r in K.heavy(load, 20_000).collect()] == ["hot"]
+    assert [r.objektart for r in K.heavy(load).collect()] == ["hot"]
     assert K.category_load(df.limit(0)).count() == 0
 
 

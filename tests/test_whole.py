@@ -41,16 +41,16 @@ def multires(tmp_path, spark):
 
 def test_union_and_intersection_of_all_categories(spark, tmp_path):
     sets = multires(tmp_path, spark)
-    union = [tuple(r) for r in Q.queries()["multires_union_all"](spark, str(tmp_path)).collect()]
+    union = [tuple(r) for r in Q.queries()["multires_union"](spark, str(tmp_path)).collect()]
     assert sorted(union) == sorted((k, c) for k, v in sets.items() for c in v) and len({k for k, _ in union}) == 5
-    got = [tuple(r) for r in Q.queries()["multires_intersection_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in Q.queries()["multires_intersection"](spark, str(tmp_path)).collect()]
     want = [(a, b, c, at != c) for a in sets for b in sets if a != b for c in sets[a] for at in {c, *above(c)} & sets[b]]
     assert sorted(got) == sorted(want) and {x[3] for x in want} == {True, False} and len({x[:2] for x in want}) > 6
 
 
 def test_pivot_of_all_categories(spark, tmp_path):
     sets = multires(tmp_path, spark)
-    got = Q.queries()["matrix_pivot_all"](spark, str(tmp_path))
+    got = Q.queries()["matrix_pivot"](spark, str(tmp_path))
     assert got.columns == ["cat_a", *sorted([*sets])]
     want = {(r.cat_a, r.cat_b): r.b1 for r in compute_all(spark.read.parquet(f"{tmp_path}/features.parquet")).collect()}
     rows = {r.cat_a: r for r in got.collect()}
@@ -88,12 +88,12 @@ def test_candidates_of_all_documents(spark, tmp_path):
         refs[d, r, m] = refs.get((d, r, m), False) or bool(u and s and s >= 0.6)
         has.add((d, r, u))
     want = [(d, r, u, i) for (d, r, m), done in refs.items() if not done for i, u, n, *_ in feats if n == m and (u is None or (d, r, u) not in has)]
-    got = [tuple(x) for x in Q.queries()["gather_candidates_all"](spark, str(tmp_path)).select("doc_id", "ref_idx", "UUID", "feature_id").collect()]
+    got = [tuple(x) for x in Q.queries()["gather_candidates"](spark, str(tmp_path)).select("doc_id", "ref_idx", "UUID", "feature_id").collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len({x[0] for x in want}) > 20
     first = {}
     for i, u, *_ in feats:
         if u:
             first.setdefault(u, i)
-    rows = Q.queries()["description_all"](spark, str(tmp_path)).collect()
+    rows = Q.queries()["description_fallback"](spark, str(tmp_path)).collect()
     assert {(r.candidate_id, r.feature_id) for r in rows} == {(k, first.get(u)) for k, _, _, _, u, _ in cands} and len(rows) == 120
     assert all(r.description == cands[r.candidate_id][3] for r in rows if r.feature_id is None) and all(r.description.startswith(f"n{r.feature_id % 4}, Turm") for r in rows if r.feature_id is not None)
