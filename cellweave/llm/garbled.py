@@ -1,15 +1,21 @@
 """Names decoded with another encoding than they were written in: found, and restored where nothing was lost.
 
-The garbled sequences of a repertoire of characters are computed for all encoding pairs, for one round and for more,
-as written and in the other letter case. One automaton finds them all in a pass; only matched spans are replaced.
-Pairs of one-byte encodings give single characters, which may as well be meant: there the sequence is taken for
-garbled only in a word where it can't stand, and if one encoding pair makes the whole word readable. What is left is
-compared with the words of all names: a word is garbled if some one-byte pair turns it into one that occurs in other
-names and has fewer characters out of place, or as few and is far more frequent.
+For every pair of encodings the images of a repertoire of characters are computed: several characters where UTF-8 was
+read as something else, once or more often, a single one where one-byte encodings were mixed up. One automaton finds
+them all, longest first, and only matched spans are replaced. Images that no text has (several characters, not all
+letters of one script) are garbled wherever they stand; any other may as well be meant. What is true, and which of the
+meanings of an image holds, is told by its surroundings and by all names together:
+
+1. A word whose images all come from one pair of encodings is garbled if that pair turns it into a word that other
+   names have, or one whose letters are usual in their places, and if either it has an image that no text has, or
+   fewer characters stand out of place afterwards, or what it turns into is FAR_MORE times as frequent.
+2. Images that no text has and that are left then are replaced by the way that explains most of the name, leaves the
+   fewest characters out of place and gives the most frequent ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,20 +27,28 @@ from pyspark.sql import functions as F
 
 from ..operators.stage import written
 
-# The letters and signs that names of the region are written with, the most frequent first.
-HOME = "üäöéèàêâôçîûëïùòìœÜÄÖÉÈÀÊÂÔÇÎÛŒß’–«»„“…°²³½¼¾ ̈"
-#: Further characters whose UTF-8 bytes are looked for: Latin letters, Greek, Cyrillic, combining accents, signs.
-WIDER = [*range(0xA0, 0x180), *range(0x300, 0x315), *range(0x386, 0x3CF), *range(0x400, 0x460), 0x490, 0x491, *range(0x2010, 0x2040), 0x20AC, 0x2122, 0x2116]
-WIDE_READ = ("cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp858")
-#: (written as, read as) of one-byte encodings.
-NARROW = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "latin-1"))
-#: Encodings of one byte a character; every pair of them is tried against the words of all names.
-ONE_BYTE = WIDE_READ
-#: As many times more often must a word occur that is no better spelt than the one it is to replace.
+# Encodings of one byte a character for Latin, Greek and Cyrillic, by the names Python gives them.
+ONE_BYTE = (
+    "cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp858", "cp1251", "cp1250", "cp1253", "cp1254", "cp1257", "cp1258", "iso8859-2", "iso8859-3", "iso8859-4",
+    "iso8859-5", "iso8859-7", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-14", "iso8859-16", "koi8-r", "koi8-u", "cp737", "cp775", "cp852", "cp855", "cp857", "cp860", "cp861",
+    "cp863", "cp865", "cp866", "cp869", "mac_latin2", "mac_cyrillic", "mac_greek", "mac_iceland", "mac_turkish", "mac_croatian", "mac_romanian", "hp_roman8",
+)
+#: So many of them are usual: where nothing else tells readings apart, theirs hold.
+USUAL = 9
+#: Encodings of several bytes that UTF-8 may be read as.
+MANY_BYTE = ("gbk", "big5", "cp932", "cp949")
+#: Western ones: their images in the other letter case are no text either.
+WESTERN = ("cp1252", "latin-1", "iso8859-15", "cp1254", "cp1258")
+#: Characters whose images are looked for: Latin letters, combining accents, Greek, Cyrillic, signs.
+REPERTOIRE = "".join(map(chr, (*range(0xA0, 0x180), *range(0x218, 0x21C), *range(0x300, 0x315), *range(0x386, 0x3CF), *range(0x400, 0x460), 0x490, 0x491, *range(0x2010, 0x2040), 0x20AC, 0x2116, 0x2122)))
+#: As many times more often must a word (a letter in its place) occur that stands no better than the one it is to replace.
 FAR_MORE = 10
+#: As many times more often must the letters of a word that no other name has occur in their places, if they are FAR_MORE times as frequent.
+MORE = 3
+#: A letter isn't taken for the image of one as many times as rare.
+RARER = 20
 LOST = "�"
-#: Single characters that are rightly there beside digits or alone.
-BESIDE_DIGITS = set("²³¹½¼¾°ºª")
+PAIRS = len(ONE_BYTE) ** 2
 
 
 def _read(data: bytes, enc: str) -> str | None:
@@ -47,38 +61,76 @@ def _read(data: bytes, enc: str) -> str | None:
     return "".join(bytes([b]).decode("latin-1") if b in b"\x81\x8d\x8f\x90\x9d" else bytes([b]).decode("cp1252") for b in data)
 
 
-def _ways() -> list[tuple[str, ...]]:
+@lru_cache(maxsize=1)
+def ways() -> list[tuple[str, ...]]:
+    """How UTF-8 was read, once, twice or three times; the usual ones first."""
     both = ("cp1252", "latin-1")
-    return [(e,) for e in WIDE_READ] + [(e, e) for e in WIDE_READ] + [("cp1252", "latin-1"), ("latin-1", "cp1252")] + [(a, b, c) for a in both for b in both for c in both]
+    one = [(e,) for e in (*ONE_BYTE, *MANY_BYTE)]
+    return one + [(e, e) for e in ONE_BYTE] + [("cp1252", "latin-1"), ("latin-1", "cp1252")] + [(a, b, c) for a in both for b in both for c in both]
 
 
-def _garble(ch: str, way: tuple[str, ...]) -> str | None:
-    s: str | None = ch
+def _garble(text: str, way: tuple[str, ...]) -> str | None:
+    s: str | None = text
     for enc in way:
         s = _read(s.encode("utf-8"), enc)
         if s is None:
             return None
-    return s if len(s) > 1 else None
+    return s
+
+
+def script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ", 1)[0]
+
+
+def _weak(image: str, changed: bool, western: bool) -> bool:
+    """May be text: all letters, of another script than Latin, or of Latin in the other case."""
+    if not all(c.isalpha() and c not in "ªº" for c in image):
+        return len(image) < 2
+    return len(image) < 2 or any(script(c) != "LATIN" for c in image) or changed and not western
 
 
 @lru_cache(maxsize=1)
-def sequences() -> dict[str, tuple[str, bool]]:
-    """Garbled sequence -> what was written, and whether the sequence was put in small letters afterwards.
+def images() -> dict[str, tuple[bool, dict[str, int]]]:
+    """Image -> (weak, {what was written: the ways and pairs by which it is, as bits}).
 
-    Where two characters give the same one, letters of the region win, then the more usual encoding, then a sequence
-    as it came over one in the other case.
+    Bits number the pairs of one-byte encodings (read as, written as), then the ways(), then the ways() followed by a
+    change of letter case.
     """
-    home = [(c, w) for c in HOME for w in _ways()]
-    rest = [(chr(c), w) for w in _ways() for c in WIDER if chr(c) not in HOME]
-    found = [(ch, s) for ch, w in home + rest if (s := _garble(ch, w)) and not s.isascii()]
-    out: dict[str, tuple[str, bool]] = {}
-    for ch, s in found:
-        out.setdefault(s, (ch, False))
-    for ch, s in found:
-        for v in (s.lower(), s.upper()):
-            if len(v) > 1 and v != ch:
-                out.setdefault(v, (ch, v == s.lower() and v != s))
-    return out
+    out: dict[str, list] = {}
+
+    def put(image: str, meant: str, bit: int, weak: bool) -> None:
+        have = out.setdefault(image, [weak, {}])
+        have[0] &= weak
+        have[1][meant] = have[1].get(meant, 0) | 1 << bit
+
+    for k, way in enumerate(ways()):
+        many, western = way[0] in MANY_BYTE, way[0] in WESTERN
+        for ch in REPERTOIRE:
+            # Encodings of several bytes may take the letter that follows into the image of a longer sequence.
+            for text in (ch, *(ch + x for x in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")) if many and len(ch.encode()) > 2 else (ch,):
+                s = _garble(text, way)
+                if not s or s.isascii() or s[-1:] == text[1:]:
+                    continue
+                put(s, text, PAIRS + k, _weak(s, False, western))
+                for v, other in ((s.lower(), text.lower()), (s.upper(), text.upper())):
+                    if v != s and len(v) == len(s) and len(v) > 1:
+                        put(v, other, PAIRS + len(ways()) + k, _weak(v, True, western))
+    tables = [[_read(bytes([b]), e) for b in range(128, 256)] for e in ONE_BYTE]
+    for r, read in enumerate(tables):
+        for w, wrote in enumerate(tables):
+            if w != r:
+                for c, m in zip(read, wrote):
+                    if c is not None and m is not None:
+                        put(c, m, r * len(ONE_BYTE) + w, True)
+    return {k: (weak, meant) for k, (weak, meant) in out.items()}
+
+
+@lru_cache(maxsize=1)
+def usual() -> tuple[int, int]:
+    """Bits of the pairs and ways without a change of letter case, and of those among the USUAL encodings."""
+    n, own = len(ONE_BYTE), range(USUAL)
+    pairs = sum(1 << r * n + w for r in own for w in own if r != w)
+    return (1 << PAIRS + len(ways())) - 1, pairs | sum(1 << PAIRS + k for k, way in enumerate(ways()) if set(way) <= set(ONE_BYTE[:USUAL]))
 
 
 @lru_cache(maxsize=1)
@@ -86,112 +138,15 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for k, v in sequences().items():
-        a.add_word(k, (len(k), *v))
+    for k, v in images().items():
+        a.add_word(k, (len(k), k, *v))
     a.make_automaton()
     return a
 
 
-@lru_cache(maxsize=1)
-def narrow() -> list[dict[str, str]]:
-    tables = []
-    for w, r in NARROW:
-        t = {}
-        for ch in HOME:
-            try:
-                g = ch.encode(w).decode(r)
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-            if g != ch and not g.isascii():
-                t[g] = ch
-        tables.append(t)
-    return tables
-
-
-WRONG_CASE = re.compile(r"[a-zà-öø-ÿœ][A-ZÀ-ÖØ-ÞŒ]")
-
-
-def readable(word: str) -> bool:
-    """Home letters only, no capital after a small letter, and signs where they belong."""
-    if any(not c.isascii() and c not in HOME for c in word) or WRONG_CASE.search(re.sub(r"[’'\-]", " ", word)):
-        return False
-    for i, c in enumerate(word):
-        left, right = word[i - 1 : i] if i else "", word[i + 1 : i + 2]
-        ok = True
-        if c == "’":
-            ok = left.isalpha() and right.isalpha()
-        elif c == "–":
-            ok = not left and not right
-        elif c in "«„":
-            ok = not left and right.isalpha()
-        elif c in "»“":
-            ok = left.isalpha() and not right
-        elif c == "…":
-            ok = left.isalpha() and not right
-        elif c in BESIDE_DIGITS:
-            ok = left.isdigit() or not left
-        elif c in " ̈":
-            ok = False
-        if not ok:
-            return False
-    return True
-
-
-def odd(word: str, name: str) -> bool:
-    """Has a character that can't stand where it does in a word of Latin letters."""
-    latin = re.search(r"[A-Za-z]", name)
-    for i, c in enumerate(word):
-        if c.isascii() or c == LOST:
-            continue
-        left, right = word[i - 1 : i] if i else "", word[i + 1 : i + 2]
-        if c in BESIDE_DIGITS:
-            if left.isalpha() or (right.isalpha() and not left.isdigit()):
-                return True
-        elif c in "„‚":
-            if left.isalpha():
-                return True
-        elif c in "”“":
-            if right.isalpha() and left.isalpha() or "„" not in name and "“" not in name.replace(c, "", 1) and left.isalpha():
-                return True
-        elif c == "…":
-            if right.isalpha() or not left or left.isalpha() and re.search(r"… [a-z]", name):
-                return True
-        elif c in "’–«» ­" or "̀" <= c <= "ͯ":
-            if c == "»" and right.isalpha() or c == "«" and left.isalpha() or c == "–" and (left.isalpha() or right.isalpha()):
-                return True
-        elif c in HOME:
-            if c.isupper() and left.isalpha() and left.islower():
-                return True
-        elif c in "ÃÕÑ" and (not left or left.isupper()) and (not right or right.isupper()):
-            continue
-        elif latin and re.search(r"[A-Za-z]", word):
-            return True
-    return False
-
-
-def _narrow(name: str) -> tuple[str, bool]:
-    words = re.split(r"( )", name)
-    strange = [w for w in words if odd(w, name)]
-    if not strange:
-        return name, False
-    best: tuple[int, str] | None = None
-    for t in narrow():
-        out, cost, fits = [], 0, True
-        for w in words:
-            new = "".join(t.get(c, c) for c in w)
-            if w in strange:
-                kept = any(not c.isascii() and c not in t and c not in "-" for c in w)
-                if new == w or kept or not readable(new):
-                    fits = False
-                    break
-            elif not (new != w and readable(new) and (len(w) == 1 or w[:1].islower() and new[:1].isupper())):
-                new = w
-            cost += sum(HOME.index(c) for c in new if c in HOME)
-            cost += 40 * (len(new) > 1 and not new[0].isascii() and new[0].islower())
-            out.append(new)
-        if fits and (best is None or cost < best[0]):
-            best = cost, "".join(out)
-    return (best[1], True) if best else (name, False)
+def hits(text: str) -> list[tuple[int, int, str, bool, dict[str, int]]]:
+    """(start, end, image, weak, meanings) of all images in the text, longest first, none over another."""
+    return [(end - n + 1, end + 1, k, weak, meant) for end, (n, k, weak, meant) in automaton().iter_long(text)]
 
 
 #: What is left of a sequence whose no-break space or control character was dropped: what it was can be told, or can't.
@@ -205,33 +160,74 @@ def _unstrip(m: re.Match) -> str:
     return "–" if m.string[m.start() - 1 : m.start()] == " " else "’"
 
 
-def repair(name: str | None) -> tuple[bool, str | None, bool]:
-    """(found, restored, complete). restored has what could be had back; complete is False where letters are lost."""
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for s, e, new in spans:
+        out += [text[at:s], new]
+        at = e
+    return "".join(out) + text[at:]
+
+
+def unwound(name: str | None, chars: dict[str, int] | None = None) -> tuple[bool, str | None]:
+    """(found, text): images that no text has replaced, span by span, until there are none.
+
+    ``chars`` counts the characters of all names. A span is written in capitals where all letters around it are.
+    """
     if not name or name.isascii():
-        return False, name, True
-    out, at, small = [], 0, False
-    for end, (n, v, low) in automaton().iter_long(name):
-        out += [name[at : end - n + 1], v]
-        at, small = end + 1, small or low
-    found = at > 0
-    new = "".join(out) + name[at:]
-    if found:
-        rest = re.sub(r"[^A-Za-z]", "", name)
-        if small:
-            new = new.lower()
-        elif len(rest) > 1 and rest.isupper():
-            new = new.upper()
+        return False, name
+    chars, found = chars or {}, False
+    for _ in range(4):
+        own = hits(name)
+        sure = [h for h in own if not h[3]]
+        if not sure:
+            break
+        found = True
+        # The way that explains most images, then the one with the most frequent characters, then the most usual one.
+        weight = lambda m: sum(math.log1p(chars.get(c, 0)) for c in m) / len(m)
+        votes: dict[int, list[float]] = {}
+        for s, e, _, _, meant in sure:
+            for m, mask in meant.items():
+                odd = misplaced(re.search(r"\S*$", name[:s])[0] + m + re.match(r"\S*", name[e:])[0])
+                for k in _bits(mask >> PAIRS):
+                    v = votes.setdefault(k, [0, 0, 0.0])
+                    v[0] += 1
+                    v[1] -= odd
+                    v[2] += weight(m)
+        best = max(votes, key=lambda k: (votes[k][0], votes[k][1], round(votes[k][2], 6), -k))
+        spans = []
+        for s, e, image, weak, meant in own:
+            by = [m for m, mask in meant.items() if mask >> PAIRS + best & 1]
+            if weak and not (by and len(image) > 1):
+                continue
+            m = max(by or [x for x, mask in meant.items() if mask >> PAIRS], key=lambda x: (weight(x), x))
+            around = re.sub("[^A-Za-z]", "", re.search(r"\S*$", name[:s])[0] + re.match(r"\S*", name[e:])[0]) or re.sub("[^A-Za-z]", "", name[:s] + name[e:])
+            spans.append((s, e, m.upper() if len(around) > 1 and around.isupper() and len(m.upper()) == len(m) else m))
+        name = _replaced(name, spans)
+    return found, name
+
+
+def repair(name: str | None, chars: dict[str, int] | None = None) -> tuple[bool, str | None, bool]:
+    """(found, text, nothing lost) of a name by itself: step 1, and what is left of sequences that lost a character."""
+    found, new = unwound(name, chars)
+    if not new or new.isascii():
+        return found, new, True
     if STRIPPED.search(new):
         found, new = True, STRIPPED.sub(_unstrip, new)
-    complete = LOST not in name and not GONE.search(new)
-    if not found and complete:
-        new, found = _narrow(name)
-    return found or not complete, new, complete
+    whole = LOST not in new and not GONE.search(new)
+    return found or not whole, new, whole
 
 
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][0-9A-Za-z\x80-\U0010ffff]*")
-#: Signs that stand beside letters: quotes, apostrophes, dashes, ellipsis, middle dot, ordinals.
+#: Signs that stand beside letters: quotes, apostrophes, dashes, ellipsis, middle dot, ordinals; some of them not between two.
 BESIDE_LETTERS = set("«»„“”‚‘’–—…·ªº")
+NOT_BETWEEN = set("«»„“”‚…")
 
 
 def shape(word: str) -> str:
@@ -239,124 +235,195 @@ def shape(word: str) -> str:
     return re.sub("[0-9]+", "0", word)
 
 
+@lru_cache(maxsize=8192)
+def _kind(c: str) -> tuple[str, bool]:
+    """Unicode category ('' for what stands in no word: controls, box drawing) and whether it is a Latin letter."""
+    k = unicodedata.category(c)
+    return "" if k in ("Cc", "Co", "Cn") or "─" <= c <= "◿" else k, c.isalpha() and script(c) == "LATIN"
+
+
 def misplaced(word: str) -> int:
     """The number of characters that can't stand where they do, in a word of any one script."""
     n, latin = 0, re.search("[A-Za-z]", word)
     for i, c in enumerate(word):
         if c.isascii():
             continue
-        left, right, kind = word[i - 1 : i] if i else "", word[i + 1 : i + 2], unicodedata.category(c)
-        if kind in ("Cc", "Co", "Cn") or "\u2500" <= c <= "\u25ff":
+        left, right, (kind, roman) = word[i - 1 : i] if i else "", word[i + 1 : i + 2], _kind(c)
+        if not kind:
             n += 1
         elif c.isalpha() and c not in "ªº":
-            other = latin and not unicodedata.name(c, "").startswith("LATIN")
-            n += bool(other or left.isdigit() or right.isdigit() or c.isupper() and left.islower() or c.islower() and left.isupper() and right.isupper())
-        elif kind[0] in "SN" and c != "\u0308":
+            n += bool(latin and not roman or left.isdigit() or right.isdigit() or c.isupper() and left.islower() or c.islower() and left.isupper() and right.isupper())
+        elif kind[0] in "SN" and c != "̈":
             n += left.isalpha() or right.isalpha()
+        elif c in NOT_BETWEEN:
+            n += left.isalpha() and right.isalpha()
         elif kind == "Po" and c not in BESIDE_LETTERS:
             n += left.isalpha()
     return n
 
 
-def _bytes(word: str, enc: str) -> bytes | None:
-    """The bytes that were read as word; the reverse of _read."""
-    try:
-        return word.encode(enc)
-    except UnicodeEncodeError:
-        if enc != "cp1252":
-            return None
-    try:
-        return b"".join(c.encode("latin-1") if c in "\x81\x8d\x8f\x90\x9d" else c.encode(enc) for c in word)
-    except UnicodeEncodeError:
-        return None
+def readings(word: str, chars: dict[str, int]) -> dict[str, int]:
+    """What may have been written -> the ways and pairs by which all of the word's images come from it, as bits.
 
+    Only characters that occur in some name are taken, and no more of them out of place than in the word as it is.
+    """
+    if LOST in word or GONE.search(word):
+        return {}
+    bad, latin = misplaced(word), re.search("[A-Za-z]", word)
+    partial: dict[str, tuple[int, int]] = {"": (-1, 0)}
+    at = 0
+    for s, e, image, _, meant in hits(word):
+        if not word[at:s].isascii():
+            return {}
+        seen = max(chars.get(c, 0) for c in image)
+        options = []
+        for m, mask in meant.items():
+            new = [c for c in m if not c.isascii()]
+            if any(c not in chars or chars[c] * RARER < seen for c in new):
+                continue
+            options.append((m, mask, sum(not (k := _kind(c))[0] or bool(latin and c.isalpha() and not k[1]) for c in new)))
+        options = [x for x in options if x[2] <= bad]
+        grown: dict[str, tuple[int, int]] = {}
+        for head, (have, odd) in partial.items():
+            head += word[at:s]
+            for m, mask, k in options:
+                if have & mask and odd + k <= bad:
+                    old = grown.get(head + m, (0, 0))
+                    grown[head + m] = old[0] | have & mask, odd + k
+        partial, at = grown, e
+    if not word[at:].isascii():
+        return {}
+    return {v: mask for head, (mask, _) in partial.items() if mask > 0 and (v := head + word[at:]) != word and misplaced(v) <= bad}
 
-def readings(word: str) -> dict[str, int]:
-    """What may have been written -> the number of the pair of one-byte encodings (read as, written as)."""
-    out: dict[str, int] = {}
-    for r, read in enumerate(ONE_BYTE):
-        if (b := _bytes(word, read)) is None:
-            continue
-        for w, wrote in enumerate(ONE_BYTE):
-            if w != r and (v := _read(b, wrote)) and v != word:
-                out.setdefault(v, r * len(ONE_BYTE) + w)
-    return out
 
+def grams(word: str) -> list[str]:
+    """Every character that isn't ASCII with its neighbours."""
+    w = f"^{shape(word)}$"
+    return [w[i - 1 : i + 2] for i in range(1, len(w) - 1) if not w[i].isascii()]
 
-def _reread(word: str, pair: int) -> str | None:
-    r, w = divmod(pair, len(ONE_BYTE))
-    b = _bytes(word, ONE_BYTE[r])
-    return None if b is None else _read(b, ONE_BYTE[w])
 
+def _lists(rows: list, kinds, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-def _repaired(names: DataFrame) -> DataFrame:
-    """(name, n, found, restored, complete) of distinct names (name, n), each by itself."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [repair(s) for s in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.bool_())], ["name", "n", "found", "restored", "complete"])
 
-    return names.mapInArrow(run, "name string, n bigint, found boolean, restored string, complete boolean")
+def _alphabet(names: DataFrame) -> dict[str, int]:
+    """How often each character beyond ASCII occurs in all names (name, n). One number a character of Unicode at most reaches the driver."""
+    c = names.select(F.explode(F.split("name", "")).alias("c"), "n").where(F.col("c").rlike(r"[^\x00-\x7f]"))
+    return {r[0]: r[1] for r in c.groupBy("c").agg(F.sum("n")).collect()}
 
 
-def _by_words(names: DataFrame) -> DataFrame:
-    """(name, restored) of the names (name, n) that hold a word garbled by a one-byte pair, as the words of all these names show."""
+def _by_words(names: DataFrame, chars: dict[str, int]) -> DataFrame:
+    """(name, restored) of the names (name, n) that hold a garbled word, as the words of all these names show."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(s, n, w) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in dict.fromkeys(map(shape, WORD.findall(s)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["name", "n", "word"])
+            yield _lists(rows, (pa.string(), pa.int64(), pa.string()), ["name", "n", "word"])
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                m = misplaced(w)
-                rows += [(w, n, v, pair, m - k) for v, pair in readings(w).items() if (k := misplaced(v)) <= m]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["word", "n", "meant", "pair", "gain"])
+                m, strong = misplaced(w), any(not h[3] for h in hits(w))
+                latin = re.search("[A-Za-z]", w)
+                for v, mask in readings(w, chars).items():
+                    gain = m - misplaced(v) + strong
+                    old, new = grams(w), grams(v)
+                    # Letters in their places. They are asked for only if their characters are more frequent than those of the images.
+                    places = [(x, "") for x in new]
+                    if not strong:
+                        places = [(x, y) for x, y in zip(new, old) if x[1] != y[1]] if len(old) == len(new) else []
+                        times = 1 if gain >= len(places) else FAR_MORE
+                        if any(chars.get(x[1], 0) < times * chars.get(y[1], 0) or times > 1 and y[1] in BESIDE_LETTERS for x, y in places):
+                            places = []
+                    # Letters of another script and box drawing in a Latin word, by usual encodings: no other name need have it.
+                    alien = latin and not strong and places and mask & usual()[1] and not misplaced(v)
+                    plain = bool(alien and all(not _kind(y[1])[0] or y[1].isalpha() and not _kind(y[1])[1] for _, y in places) and all(chars.get(x[1], 0) >= FAR_MORE * chars.get(y[1], 0) for x, y in places))
+                    rows.append((w, n, v, gain, strong or gain >= len(places), plain, [x for x, _ in places], [y for _, y in places]))
+            yield _lists(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())), ["word", "n", "meant", "gain", "odd", "plain", "new", "old"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _lists([(g, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for g in grams(w)], (pa.string(), pa.int64()), ["g", "n"])
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column(0).to_pylist()
-            new = pa.array([_restored(s, o) for s, o in zip(names, b.column(1).to_pylist())], pa.string())
+            new = pa.array([_restored(s, o, chars) for s, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), new], ["name", "restored"])
 
     parts = written(names.select("name", "n").mapInArrow(split, "name string, n bigint, word string"))
     words = written(parts.groupBy("word").agg(F.sum("n").alias("n")))
+    tries = written(words.mapInArrow(reread, "word string, n bigint, meant string, gain int, odd boolean, plain boolean, new array<string>, old array<string>"))
     seen = words.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
-    tries = words.mapInArrow(reread, "word string, n bigint, meant string, pair int, gain int").join(seen, "meant").where("n_meant >= n or gain > 0")
-    sure = (F.col("gain") > 0) | (F.col("n_meant") >= FAR_MORE * F.col("n"))
-    offers = tries.groupBy("word").agg(F.collect_list(F.struct(sure.alias("sure"), "gain", "n_meant", "pair")).alias("offers"))
+    known = tries.join(seen, "meant").where("n_meant >= n or gain > 0").select("word", "meant", "gain", "n_meant", ((F.col("gain") > 0) | (F.col("n_meant") >= FAR_MORE * F.col("n"))).alias("sure"))
+    g = written(words.mapInArrow(places, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("m")))
+    at = tries.where(F.size("new") > 0).select("word", "meant", "gain", "odd", F.size("new").alias("places"), F.explode(F.arrays_zip("new", "old")).alias("p")).select("word", "meant", "gain", "odd", "places", "p.new", "p.old")
+    at = at.join(g.select(F.col("g").alias("new"), F.col("m").alias("m_new")), "new").join(g.select(F.col("g").alias("old"), F.col("m").alias("m_old")), "old", "left")
+    fits = at.groupBy("word", "meant", "gain", "odd", "places").agg(F.count("*").alias("k"), F.min("m_new").alias("m_new"), F.max(F.coalesce("m_old", F.lit(0))).alias("m_old")).where("k = places")
+    enough = F.when(F.col("odd"), F.col("m_new") >= F.col("m_old")).otherwise(F.col("m_new") >= MORE * F.col("m_old"))
+    fits = fits.where(enough).join(known.where("sure").select("word", "meant"), ["word", "meant"], "left_anti").join(seen, "meant", "left")
+    fits = fits.select("word", "meant", "gain", F.coalesce("n_meant", F.lit(0)).cast("bigint").alias("n_meant"), F.lit(True).alias("sure"), "m_new")
+    both = known.withColumn("m_new", F.lit(0).cast("bigint")).unionByName(fits)
+    both = both.unionByName(tries.where("plain").select("word", "meant", "gain", *[F.lit(0).cast("bigint").alias(c) for c in ("n_meant", "m_new")], F.lit(True).alias("sure")))
+    offers = both.groupBy("word").agg(F.collect_list(F.struct("sure", "gain", "n_meant", "m_new", "meant")).alias("offers"))
     own = parts.join(offers, "word").groupBy("name").agg(F.collect_list(F.struct("word", "offers")).alias("words"))
     some = own.where(F.exists("words", lambda w: F.exists(w["offers"], lambda o: o["sure"])))
     return some.mapInArrow(restore, "name string, restored string")
 
 
-def _restored(name: str, words: list[dict]) -> str:
-    """By the pair that makes the most words right; words that no pair is sure of follow the one chosen."""
-    votes: dict[int, tuple[int, int, int]] = {}
-    for w in words:
-        for o in w["offers"]:
-            if o["sure"]:
-                k, gain, n = votes.get(o["pair"], (0, 0, 0))
-                votes[o["pair"]] = (k + 1, gain + o["gain"], n + o["n_meant"])
-    order = sorted(votes, key=lambda p: (*[-x for x in votes[p]], p))
-    new = {}
+def _restored(text: str, words: list[dict], chars: dict[str, int]) -> str:
+    """Word by word, the best known first; the ways and pairs that explain it are kept for the rest, as far as they do."""
+    order = []
     for w in words:
-        pairs = {o["pair"]: o["sure"] for o in w["offers"]}
-        pair = next((p for p in order if p in pairs and (p == order[0] or pairs[p])), None)
-        if pair is not None:
-            new[w["word"]] = pair
-    return WORD.sub(lambda m: (_reread(m[0], new[shape(m[0])]) or m[0]) if shape(m[0]) in new else m[0], name)
+        masks = readings(w["word"], chars)
+        order += [(bool(o["n_meant"]), o["gain"], o["n_meant"], o["m_new"], o["sure"], w["word"], o["meant"], masks.get(o["meant"], 0)) for o in w["offers"]]
+    same, often = usual()
+
+    def place(x):
+        more = FAR_MORE if x[7] & often else 1
+        return not x[4], not x[0], -x[1], not x[7] & same, -x[2] * more, -x[3] * more, x[5], x[6]
+
+    order.sort(key=place)
+    now, new = -1, {}
+    for strict in (True, False):
+        for *_, sure, word, meant, mask in order:
+            if word not in new and (now & mask or sure and not strict):
+                now, new[word] = (now & mask or now), meant
+            if now == -1 and not sure:
+                break
+    letters = re.sub("[^A-Za-z]", "", text)
+    caps = len(letters) > 1 and letters.isupper()
+    return WORD.sub(lambda m: _as(m[0], new[shape(m[0])], caps) if shape(m[0]) in new else m[0], text)
+
+
+def _as(word: str, meant: str, caps: bool) -> str:
+    """meant with the digits of the word, in capitals where all letters of its text are."""
+    if caps and len(meant.upper()) == len(meant):
+        meant = meant.upper()
+    digits = iter(re.findall("[0-9]+", word))
+    return re.sub("0", lambda _: next(digits, "0"), meant)
 
 
 def find(df: DataFrame, id_col: str = "feature_id", text: str = "NAME") -> DataFrame:
     """(id, name, restored, complete) of the rows whose text is garbled in whole or in part.
 
     NULL, empty and ASCII texts are no cases and never leave the JVM. Each distinct text is looked at once. Restored
-    text is NULL where nothing could be had back; ``complete`` is false where letters were lost.
+    text is NULL where nothing could be had back; ``complete`` is false where letters were lost or something that
+    can't stand where it does is left.
     """
     own = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).alias("id"), F.col(text).alias("name"))
-    names = written(_repaired(own.groupBy("name").agg(F.count("*").alias("n"))))
-    alone = names.where("found").select("name", F.when(F.col("restored") != F.col("name"), F.col("restored")).alias("restored"), "complete")
-    bad = alone.unionByName(_by_words(names.where("not found")).withColumn("complete", F.lit(True)))
-    return own.join(bad, "name").select(F.col("id").alias(id_col), "name", "restored", "complete")
+    names = written(own.groupBy("name").agg(F.count("*").alias("n")))
+    chars = _alphabet(names)
+    bad = names.select("name").join(_by_words(names, chars), "name", "left")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, new in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found, text, whole = repair(new or name, chars)
+                if found or new:
+                    rows.append((name, text, whole and not sum(map(misplaced, WORD.findall(text)))))
+            yield _lists(rows, (pa.string(), pa.string(), pa.bool_()), ["name", "restored", "complete"])
+
+    bad = bad.mapInArrow(rest, "name string, restored string, complete boolean")
+    out = own.join(bad, "name")
+    return out.select(F.col("id").alias(id_col), "name", F.when(F.col("restored") != F.col("name"), F.col("restored")).alias("restored"), "complete")
