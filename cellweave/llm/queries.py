@@ -106,7 +106,12 @@ def sql() -> dict[str, str]:
     six = """s AS (SELECT DISTINCT l.cell, f.OBJEKTART AS o FROM h3_lookup l JOIN features f USING (feature_id) WHERE l.cell IS NOT NULL AND f.OBJEKTART IS NOT NULL),
       z AS (SELECT o, count(*) AS n FROM s GROUP BY 1), t AS (SELECT count(DISTINCT cell) AS n FROM s), p AS (SELECT a.o AS objektart_a, b.o AS objektart_b, count(*) AS n_ab FROM s a JOIN s b ON a.cell = b.cell AND a.o < b.o GROUP BY 1, 2),
       r AS (SELECT p.objektart_a, p.objektart_b, x.n AS n_a, y.n AS n_b, p.n_ab, t.n AS n FROM p JOIN z x ON x.o = objektart_a JOIN z y ON y.o = objektart_b CROSS JOIN t)"""
+    ten = "SELECT doc_id, i, md5_number(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)"
     return {
+        "p10_found": f"""WITH w AS (SELECT DISTINCT doc_id, h FROM ({ten})) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p10_shared": f"""WITH p AS ({ten}), r AS (SELECT h FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p WHERE h IN (SELECT h FROM r)),
+          c AS (SELECT doc_id, sum(least(400, i - coalesce(before, i - 400)))::INT AS shared FROM s GROUP BY 1)
+          SELECT d.doc_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(shared, 0)::INT AS shared_chars, coalesce(round(shared / nullif(length(text), 0)::DOUBLE, 6), 0) AS share FROM documents d LEFT JOIN c USING (doc_id)""",
         "p3_found": """SELECT OBJEKTART AS objektart, feature_id FROM features WHERE OBJEKTART IS NOT NULL AND source IS NOT NULL AND change_day IS NOT NULL AND h3_cell_count IS NOT NULL
           QUALIFY row_number() OVER (PARTITION BY OBJEKTART, source, change_day ORDER BY h3_cell_count DESC, feature_id) <= 3""",
         "p5_overlaps": f"WITH {five} SELECT * FROM r",

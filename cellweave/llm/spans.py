@@ -1,16 +1,18 @@
 """Long spans that stand verbatim in more than one record, by level-wise doubling.
 
-Level 1 looks at windows of a quarter of the least length, level 2 at twice that, the last at the least length itself.
-A window repeated in no other record rules out every longer span around it, so each level only looks where the one
-before left room, and ends where nothing is left. Below the last level it is enough to look at a content-defined
-choice of windows: of any ``slack`` windows in a row the one with the smallest hash. Two records that share a span
-choose alike inside it. The last level's windows and its slack together are just as long as a span, so records with
-one in common have a choice of it in common; those pairs are compared exactly. Where a choice is held by more records
-than ``CROWD``, pairs are not compared one by one: all windows of the least length around it meet by hash instead.
+Level 1 looks at windows of a quarter of the last level's length, level 2 at twice that, the last at twice that again,
+SLACK - 1 short of a span. A window repeated in no other record rules out every longer span around it, so each level
+only looks where the one before left room, and ends where nothing is left. It is enough to look at a content-defined
+choice of windows: of any ``slack`` windows in a row the one with the smallest hash, the first of equal ones. Two
+records that share a span choose alike inside it. At the last level a window and its slack together are just as long
+as a span, so any span in common has a choice of it in common, and the span is that window with some of the few
+characters before and after it. Windows are told apart by SHA-256 there, the characters around them as they are; no
+text is compared with another, and records meet only on spans they share.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stage import written
 
-LEAST, SLACK, CROWD = 400, 32, 64
+LEAST, SLACK = 400, 33
 CHUNK = 400_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _B = 0xD6E8FEB86659FD93
@@ -145,62 +147,43 @@ def _sampled(size: int, slack: int):
     return go
 
 
-def _every(size: int):
-    """Rows (id, pos, h, h2) of every window of a record that starts in one of its parts [lo, hi); h and h2 are 128 bits together."""
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, to, part in _texts(b, 1):
-                x = Hashed(part)
-                ids = b.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)
-                pos, who = [], []
-                for k, (s, e) in enumerate(zip(x.starts.tolist(), x.ends.tolist())):
-                    spots = [np.arange(p, min(q, e - s) - size + 1) for p, q in zip(b.column(2)[at + k].as_py(), b.column(3)[at + k].as_py())]
-                    a = np.unique(np.concatenate(spots)) if spots else np.zeros(0, int)
-                    pos.append(a + s)
-                    who.append(np.full(len(a), k))
-                a, k = np.concatenate(pos), np.concatenate(who)
-                if len(a):
-                    half = size // 2
-                    h = x.windows(size, a).view(np.int64)
-                    h2 = (_mix(x.windows(half, a)) ^ x.windows(size - half, a + half)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[k], pa.int64()), pa.array(a - x.starts[k], pa.int32()), pa.array(h, pa.int64()), pa.array(h2, pa.int64())], ["id", "pos", "h", "h2"])
-
-    return go
-
-
-def common(a: str, b: str, least: int) -> list[int]:
-    """Positions in a from which ``least`` code points stand somewhere in b, character for character."""
-    x = Hashed([a, b])
-    n, m = len(a) - least + 1, len(b) - least + 1
-    if n < 1 or m < 1:
-        return []
-    ha, hb = x.windows(least, np.arange(n)), x.windows(least, len(a) + np.arange(m))
-    order = np.argsort(hb, kind="stable")
-    at = np.minimum(np.searchsorted(hb[order], ha), m - 1)
-    hit = np.flatnonzero(hb[order][at] == ha)
-    out: list[int] = []
-    for p in hit.tolist():
-        q = int(order[at[p]])
-        if a[p : p + least] == b[q : q + least]:
-            out.append(p)
-    return out
+LAST = "id bigint, pos int, last int, w binary, l string, r string"
 
 
-def _compare(least: int):
-    """(id_a, id_b, los_a, his_a, los_b, his_b) of the pairs that have a span in common: its parts in both texts."""
-    def stretches(p: list[int]) -> tuple[list[int], list[int]]:
-        x = np.array(p)
-        cut = np.flatnonzero(np.diff(x) > least)
-        return [int(v) for v in np.concatenate([x[:1], x[cut + 1]])], [int(v) + least for v in np.concatenate([x[cut], x[-1:]])]
+def _last(size: int, slack: int):
+    """Rows (id, pos, last, w, l, r): the windows of a record chosen in its parts, by digest, and up to slack - 1 characters before and after.
 
+    Windows at pos..last that are alike with all that is around them (in texts of one repeated character) are one row.
+    """
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for a_id, b_id, ta, tb in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if pa_ := common(ta, tb, least):
-                    rows.append((a_id, b_id, *stretches(pa_), *stretches(common(tb, ta, least))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4))], ["id_a", "id_b", "los_a", "his_a", "los_b", "his_b"])
+            for at, to, part in _texts(b, 1):
+                x = Hashed(part)
+                h = x.all(size)
+                rows: list[list] = []
+                for k, (s, e) in enumerate(zip(x.starts.tolist(), x.ends.tolist())):
+                    t, i = part[k], b.column(0)[at + k].as_py()
+                    found: set[int] = set()
+                    for p, q in zip(b.column(2)[at + k].as_py(), b.column(3)[at + k].as_py()):
+                        q = min(q, e - s - size + 1)
+                        n = q - p - slack + 1
+                        if n < 1:
+                            continue
+                        # Rank and place in one number, so that the least is the first of the smallest.
+                        rank = np.unique(h[s + p : s + q], return_inverse=True)[1] * (q - p) + np.arange(q - p)
+                        found.update((np.unique(_slide(rank, slack, np.minimum)[:n] % (q - p)) + p).tolist())
+                    before = None
+                    for p in sorted(found):
+                        around = t[max(0, p - slack + 1) : p + size + slack - 1]
+                        if rows and around == before and rows[-1][0] == i and rows[-1][2] == p - 1:
+                            rows[-1][2] = p
+                            continue
+                        before = around
+                        digest = hashlib.sha256(t[p : p + size].encode("utf-8", "surrogatepass")).digest()
+                        rows.append([i, p, p, digest, t[max(0, p - slack + 1) : p], t[p + size : p + size + slack - 1]])
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "pos", "last", "w", "l", "r"])
 
     return go
 
@@ -230,63 +213,64 @@ def _parts(rows: DataFrame, size: int, slack: int, least: int) -> DataFrame:
     return islands.withColumn("r", long).where(F.size("r") > 0).select("id", F.expr("transform(r, x -> x.lo)").alias("los"), F.expr("transform(r, x -> x.hi)").alias("his"))
 
 
-PAIRS = "id_a bigint, id_b bigint, los_a array<int>, his_a array<int>, los_b array<int>, his_b array<int>"
+def _choices(docs: DataFrame, least: int, slack: int = SLACK) -> DataFrame:
+    """The rows of _last() of the records (id, text) that survive all levels before it, written once."""
+    last = least - slack + 1
+    left, size = docs.where(F.length("text") >= least).select("id", "text"), last // 4
+    parts = _parts(left.mapInArrow(_sampled(size, size), RUNS), size, size, least)
+    while True:
+        left = written(left.select("id", "text").join(parts, "id").select("id", "text", "los", "his"))
+        size *= 2
+        if 2 * size > last or left.isEmpty():
+            break
+        parts = _parts(left.mapInArrow(_sampled(size, size), RUNS), size, size, least)
+    return written(left.mapInArrow(_last(last, slack), LAST))
 
 
-def _levels(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(left, rows): the records (id, text) that survive all levels, and the choices (id, lo, hi, h) of the last one.
+def _spans(rows: DataFrame, least: int, slack: int = SLACK) -> DataFrame:
+    """(w, l, r, d, s): the spans of ``least`` characters, d of them before a window w, that two records at least have.
 
-    The text of records is read once more per level; only that of records with parts left is moved, once.
+    rows: of _last(). All records with the same characters around a window are one class (w, l, r), so what is looked
+    at follows the different surroundings, not the records. If there is one class only, all around the window is
+    shared: d is -1 and s empty. Else s is what the span has before and after the window; a window has at most slack
+    such spans.
     """
-    d = docs.where(F.length("text") >= least).select("id", "text")
-    size = slack = least // 4
-    left = written(d.join(_parts(d.mapInArrow(_sampled(size, slack), RUNS), size, slack, least), "id"))
-    size *= 2
-    cols = "id", "text", "los", "his"
-    parts = _parts(left.select(*cols).mapInArrow(_sampled(size, slack), RUNS), size, slack, least)
-    left = written(left.select("id", "text").join(parts, "id"))
-    rows = written(left.select(*cols).mapInArrow(_sampled(least - SLACK + 1, SLACK), RUNS))
-    return left.select("id", "text"), rows
-
-
-def _found(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowd): compared pairs with their parts, and the windows (id, pos, h, h2) around crowded choices."""
-    left, rows = _levels(docs, least)
-    n = written(rows.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    few = rows.join(n.where(F.col("n") <= CROWD), "h", "left_semi").select("h", "id").distinct()
-    few = written(few)
-    p = few.withColumnRenamed("id", "id_a").join(few.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
-    for s in "ab":
-        p = p.join(left.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")), f"id_{s}")
-    pairs = p.select("id_a", "id_b", "text_a", "text_b").mapInArrow(_compare(least), PAIRS)
-    # A choice [lo, hi] covers the windows from lo to hi + slack - 1; a span around it starts at most slack earlier.
-    many = rows.join(n.where(F.col("n") > CROWD), "h", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.greatest(F.col("lo") - SLACK, F.lit(0)).alias("lo"), (F.col("hi") + SLACK + least).alias("hi")))).alias("r"))
-    many = many.select("id", F.expr("transform(r, x -> x.lo)").alias("los"), F.expr("transform(r, x -> x.hi)").alias("his"))
-    crowd = left.join(many, "id").select("id", "text", "los", "his").mapInArrow(_every(least), "id bigint, pos int, h bigint, h2 bigint")
-    return pairs, crowd
+    more = slack - 1
+    classes = written(rows.groupBy("w", "l", "r").agg(F.min("id").alias("a"), F.max("id").alias("b")))
+    per = classes.groupBy("w").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("w", "n")
+    c = classes.join(per, "w")
+    alone = c.where("n = 1").where(F.length("l") + F.length("r") >= more).select("w", "l", "r", F.lit(-1).alias("d"), F.lit("").alias("s"))
+    each = c.where("n > 1").select("w", "l", "r", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(more))).alias("d")).where(f"length(l) >= d and length(r) >= {more} - d")
+    each = written(each.withColumn("s", F.expr(f"concat(right(l, d), left(r, {more} - d))")))
+    shared = each.groupBy("w", "d", "s").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("w", "d", "s")
+    return alone.unionByName(each.join(shared, ["w", "d", "s"], "left_semi").select("w", "l", "r", "d", "s"))
 
 
 def shared_pairs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records with a span of ``least`` code points in common.
 
-    docs: (id, text), id unique; NULL, empty and shorter texts have none. Pairs that share a choice of the last level
-    are compared character for character. In crowds, records meet on each window of ``least`` code points by 128 bits
-    of hash, so only pairs that belong to the result are made, however many records hold the same shorter passage.
+    docs: (id, text), id unique; NULL, empty and shorter texts have none. Spans that the same records have are taken
+    once (number, least and largest id and two hashes of the set), so a long copy makes its pairs once, and only pairs
+    that belong to the result are made.
     """
-    pairs, crowd = _found(docs, least)
-    w = written(crowd.select("h", "h2", "id").distinct())
-    c = w.withColumnRenamed("id", "id_a").join(w.withColumnRenamed("id", "id_b"), ["h", "h2"]).where("id_a < id_b").select("id_a", "id_b").distinct()
-    return pairs.select("id_a", "id_b").unionByName(c).distinct()
+    rows = _choices(docs, least)
+    held = written(_spans(rows, least).join(rows.select("w", "l", "r", "id").distinct(), ["w", "l", "r"]).select("w", "d", "s", "id").distinct())
+    sets = held.groupBy("w", "d", "s").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    one = sets.groupBy("n", "lo", "hi", "x", "y").agg(F.min(F.struct("w", "d", "s")).alias("k")).select("k.*")
+    own = written(held.join(one, ["w", "d", "s"], "left_semi"))
+    return own.withColumnRenamed("id", "id_a").join(own.withColumnRenamed("id", "id_b"), ["w", "d", "s"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def shared_parts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, n_chars, shared_chars, share) of every record: code points that lie in spans found in another record. NULL texts have 0 of 0."""
-    pairs, crowd = _found(docs, least)
-    pairs, w = written(pairs), written(crowd)
-    same = w.groupBy("h", "h2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h", "h2")
-    parts = w.join(same, ["h", "h2"], "left_semi").select("id", F.col("pos").alias("lo"), (F.col("pos") + least).alias("hi"))
-    for s in "ab":
-        parts = parts.unionByName(pairs.select(F.col(f"id_{s}").alias("id"), F.explode(F.arrays_zip(F.col(f"los_{s}").alias("lo"), F.col(f"his_{s}").alias("hi"))).alias("x")).select("id", "x.lo", "x.hi"))
+    """(id, n_chars, shared_chars, share) of every record: code points that lie in spans found in another record. NULL texts have 0 of 0.
+
+    No pairs are made: a span counts where another record has it.
+    """
+    rows = _choices(docs, least)
+    size = least - SLACK + 1
+    lo = F.when(F.col("d") < 0, F.col("pos") - F.length("l")).otherwise(F.col("pos") - F.col("d"))
+    hi = F.when(F.col("d") < 0, F.col("last") + size + F.length("r")).otherwise(F.col("last") - F.col("d") + least)
+    parts = rows.join(_spans(rows, least).select("w", "l", "r", "d"), ["w", "l", "r"]).select("id", lo.alias("lo"), hi.alias("hi"))
     # Per record, bounded by its text: equal parts are combined before the shuffle.
     runs = parts.distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))

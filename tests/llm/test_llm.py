@@ -236,6 +236,7 @@ def test_shared_spans(spark):
             parts += [base[s : s + rng.choice([380, 399, 400, 401, 431, 432, 600])], r(rng.randrange(200))]
         rows.append((i, "".join(parts)))
     rows += [(100 + i, r(30) + crowd + ("!" * 3 if i % 30 else "?") + r(40)) for i in range(90)]
+    rows += [(2000 + i, r(i % 40) + base[100:500] + r(20)) for i in range(200)]
     rows += [(1000, None), (1001, ""), (1002, "x" * 3000), (1003, "y" + "x" * 400), (1004, "x" * 399), (1005, "ab" * 900), (1006, "ba" * 200)]
     df = spark.createDataFrame(rows, "id long, text string")
     pairs, cover = brute([(i, x or "") for i, x in rows], k)
