@@ -147,20 +147,26 @@ def _sampled(size: int, slack: int):
     return go
 
 
-LAST = "id bigint, pos int, last int, w binary, l string, r string"
+LAST = "id bigint, w binary, c binary, l string, r string, pos array<int>, last array<int>"
+
+
+def _digest(text: str) -> bytes:
+    """SHA-256, cut to 128 bits."""
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
 
 
 def _last(size: int, slack: int):
-    """Rows (id, pos, last, w, l, r): the windows of a record chosen in its parts, by digest, and up to slack - 1 characters before and after.
+    """Rows (id, w, c, l, r, pos, last): the windows of a record chosen in its parts, once each.
 
-    Windows at pos..last that are alike with all that is around them (in texts of one repeated character) are one row.
+    w is the digest of the window, l and r the up to slack - 1 characters before and after it, c the digest of all
+    three. It stands at every position from pos[k] to last[k].
     """
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, part in _texts(b, 1):
                 x = Hashed(part)
                 h = x.all(size)
-                rows: list[list] = []
+                rows: list[tuple] = []
                 for k, (s, e) in enumerate(zip(x.starts.tolist(), x.ends.tolist())):
                     t, i = part[k], b.column(0)[at + k].as_py()
                     found: set[int] = set()
@@ -172,18 +178,20 @@ def _last(size: int, slack: int):
                         # Rank and place in one number, so that the least is the first of the smallest.
                         rank = np.unique(h[s + p : s + q], return_inverse=True)[1] * (q - p) + np.arange(q - p)
                         found.update((np.unique(_slide(rank, slack, np.minimum)[:n] % (q - p)) + p).tolist())
-                    before = None
+                    own: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
                     for p in sorted(found):
-                        around = t[max(0, p - slack + 1) : p + size + slack - 1]
-                        if rows and around == before and rows[-1][0] == i and rows[-1][2] == p - 1:
-                            rows[-1][2] = p
-                            continue
-                        before = around
-                        digest = hashlib.sha256(t[p : p + size].encode("utf-8", "surrogatepass")).digest()
-                        rows.append([i, p, p, digest, t[max(0, p - slack + 1) : p], t[p + size : p + size + slack - 1]])
+                        lo = max(0, p - slack + 1)
+                        first, last = own.setdefault((t[lo : p + size + slack - 1], p - lo), ([], []))
+                        if last and last[-1] == p - 1:
+                            last[-1] = p
+                        else:
+                            first.append(p)
+                            last.append(p)
+                    for (around, n), (first, last) in own.items():
+                        rows.append((i, _digest(around[n : n + size]), _digest(f"{n} {around}"), around[:n], around[n + size :], first, last))
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "pos", "last", "w", "l", "r"])
+                    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "w", "c", "l", "r", "pos", "last"])
 
     return go
 
@@ -227,38 +235,55 @@ def _choices(docs: DataFrame, least: int, slack: int = SLACK) -> DataFrame:
     return written(left.mapInArrow(_last(last, slack), LAST))
 
 
-def _spans(rows: DataFrame, least: int, slack: int = SLACK) -> DataFrame:
-    """(w, l, r, d, s): the spans of ``least`` characters, d of them before a window w, that two records at least have.
+SET = ["n", "lo", "hi", "x", "y"]
+
+
+def _set(rows: DataFrame, *key: str) -> DataFrame:
+    """The set of records of each key, told by their number, the least and largest id and two hashes of all."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
 
-    rows: of _last(). All records with the same characters around a window are one class (w, l, r), so what is looked
-    at follows the different surroundings, not the records. If there is one class only, all around the window is
-    shared: d is -1 and s empty. Else s is what the span has before and after the window; a window has at most slack
-    such spans.
+
+def _spans(rows: DataFrame, least: int, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
+    """(alone, shared): what two records at least have in common around the windows of rows, from _last().
+
+    All records with the same characters around a window are one class (w, c), so what is looked at follows the
+    different surroundings, not the records. Where there is one class only, all around the window is shared: alone has
+    (w, its set of records), if that is a span. Else shared has (w, c, d, k): the window and the characters around it
+    hold a span with d characters before it that another class has too; k is its digest. A window has at most slack
+    such spans, which are twice as many in all as there are characters near the ends of shared passages.
     """
     more = slack - 1
-    classes = written(rows.groupBy("w", "l", "r").agg(F.min("id").alias("a"), F.max("id").alias("b")))
-    per = classes.groupBy("w").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("w", "n")
-    c = classes.join(per, "w")
-    alone = c.where("n = 1").where(F.length("l") + F.length("r") >= more).select("w", "l", "r", F.lit(-1).alias("d"), F.lit("").alias("s"))
-    each = c.where("n > 1").select("w", "l", "r", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(more))).alias("d")).where(f"length(l) >= d and length(r) >= {more} - d")
-    each = written(each.withColumn("s", F.expr(f"concat(right(l, d), left(r, {more} - d))")))
-    shared = each.groupBy("w", "d", "s").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("w", "d", "s")
-    return alone.unionByName(each.join(shared, ["w", "d", "s"], "left_semi").select("w", "l", "r", "d", "s"))
+    own = rows.select("id", "w", "c", F.length("l").alias("nl"), F.length("r").alias("nr"))
+    classes = written(_set(own, "w", "c", "nl", "nr"))
+    per = classes.groupBy("w").agg(F.count("*").alias("classes"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most")
+    c = classes.join(per.select("w", "classes"), "w")
+    alone = written(c.where("classes = 1").where(F.col("nl") + F.col("nr") >= more).select("w", *SET))
+    many = c.where("classes > 1").select("w", "c", "lo", "hi")
+    around = rows.select("w", "c", "l", "r").join(many.select("w").distinct(), "w", "left_semi").dropDuplicates(["w", "c"])
+    each = many.join(around, ["w", "c"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(more))).alias("d")).where(f"length(l) >= d and length(r) >= {more} - d")
+    digest = F.expr(f"unhex(left(sha2(concat(w, encode(concat(d, ' ', right(l, d), left(r, {more} - d)), 'UTF-8')), 256), 32))")
+    each = written(each.select("w", "c", "lo", "hi", "d", digest.alias("k")))
+    both = each.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("k")
+    return alone, each.join(both, "k", "left_semi").select("w", "c", "d", "k")
+
+
+def _one(sets: DataFrame, key: str) -> DataFrame:
+    """A key of each different set."""
+    return sets.groupBy(*SET).agg(F.min(key).alias(key)).select(key)
 
 
 def shared_pairs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records with a span of ``least`` code points in common.
 
-    docs: (id, text), id unique; NULL, empty and shorter texts have none. Spans that the same records have are taken
-    once (number, least and largest id and two hashes of the set), so a long copy makes its pairs once, and only pairs
-    that belong to the result are made.
+    docs: (id, text), id unique; NULL, empty and shorter texts have none. Spans that the same set of records has are
+    taken once, so a long copy makes its pairs once, and only pairs that belong to the result are made.
     """
     rows = _choices(docs, least)
-    held = written(_spans(rows, least).join(rows.select("w", "l", "r", "id").distinct(), ["w", "l", "r"]).select("w", "d", "s", "id").distinct())
-    sets = held.groupBy("w", "d", "s").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    one = sets.groupBy("n", "lo", "hi", "x", "y").agg(F.min(F.struct("w", "d", "s")).alias("k")).select("k.*")
-    own = written(held.join(one, ["w", "d", "s"], "left_semi"))
-    return own.withColumnRenamed("id", "id_a").join(own.withColumnRenamed("id", "id_b"), ["w", "d", "s"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    alone, shared = _spans(rows, least)
+    at_ends = written(rows.select("w", "c", "id").join(shared, ["w", "c"]).select("k", "id").distinct())
+    held = rows.select(F.col("w").alias("k"), "id").join(_one(alone, "w").withColumnRenamed("w", "k"), "k", "left_semi")
+    held = written(held.unionByName(at_ends.join(_one(_set(at_ends, "k"), "k"), "k", "left_semi")))
+    return held.withColumnRenamed("id", "id_a").join(held.withColumnRenamed("id", "id_b"), "k").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def shared_parts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -266,11 +291,12 @@ def shared_parts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     No pairs are made: a span counts where another record has it.
     """
-    rows = _choices(docs, least)
-    size = least - SLACK + 1
-    lo = F.when(F.col("d") < 0, F.col("pos") - F.length("l")).otherwise(F.col("pos") - F.col("d"))
-    hi = F.when(F.col("d") < 0, F.col("last") + size + F.length("r")).otherwise(F.col("last") - F.col("d") + least)
-    parts = rows.join(_spans(rows, least).select("w", "l", "r", "d"), ["w", "l", "r"]).select("id", lo.alias("lo"), hi.alias("hi"))
+    rows, size = _choices(docs, least), least - SLACK + 1
+    alone, shared = _spans(rows, least)
+    at = F.explode(F.arrays_zip("pos", "last")).alias("x")
+    whole = rows.join(alone.select("w"), "w", "left_semi").select("id", F.length("l").alias("nl"), F.length("r").alias("nr"), at).select("id", (F.col("x.pos") - F.col("nl")).alias("lo"), (F.col("x.last") + size + F.col("nr")).alias("hi"))
+    ends = rows.select("id", "w", "c", "pos", "last").join(shared.select("w", "c", "d"), ["w", "c"]).select("id", "d", at).select("id", (F.col("x.pos") - F.col("d")).alias("lo"), (F.col("x.last") - F.col("d") + least).alias("hi"))
+    parts = whole.unionByName(ends)
     # Per record, bounded by its text: equal parts are combined before the shuffle.
     runs = parts.distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
