@@ -207,6 +207,7 @@ def _parts(rows: DataFrame, size: int, slack: int, least: int) -> DataFrame:
     In a shared span of ``least`` characters every position up to least - size - slack + 1 from its start makes the
     same choice in both records. Neighbouring runs are joined into islands; an island of fewer positions holds no span.
     """
+    rows = written(rows)  # read twice: hashing the texts is the costly part
     good = rows.join(repeated(rows), "h", "left_semi").select("id", "lo", "hi")
     runs = good.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("r"))
 
