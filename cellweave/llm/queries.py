@@ -80,6 +80,11 @@ def p9_found(spark, d):
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p9_stored_leaks(spark, d):
+    """p9_leaks of the texts as they are stored, encodings and markup and all."""
+    return leaks.leaks(t(spark, d, "documents"), t(spark, d, "eval_items"), read=leaks.whole)
+
+
 def _docs(spark, d):
     return t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -92,7 +97,7 @@ def p10_shared(spark, d):
     return spans.shared_parts(_docs(spark, d)).withColumnRenamed("id", "doc_id").withColumn("share", F.round("share", 6))
 
 
-QUERIES = [p1_found, p1_restored, p2_distinct_cells, p2_partials, p2_joint_sources, p3_found, p5_found, p5_overlaps, p6_found, p6_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_shared]
+QUERIES = [p1_found, p1_restored, p2_distinct_cells, p2_partials, p2_joint_sources, p3_found, p5_found, p5_overlaps, p6_found, p6_pairs, p8_ids, p9_found, p9_leaks, p9_stored_leaks, p10_found, p10_shared]
 
 
 def queries() -> dict:
@@ -112,6 +117,11 @@ def sql() -> dict[str, str]:
         "p10_shared": f"""WITH p AS ({ten}), r AS (SELECT h FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p WHERE h IN (SELECT h FROM r)),
           c AS (SELECT doc_id, sum(least(400, i - coalesce(before, i - 400)))::INT AS shared FROM s GROUP BY 1)
           SELECT d.doc_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(shared, 0)::INT AS shared_chars, coalesce(round(shared / nullif(length(text), 0)::DOUBLE, 6), 0) AS share FROM documents d LEFT JOIN c USING (doc_id)""",
+        "p9_stored_leaks": """WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(nfc_normalize(lower(text)), '[\\pL\\pN]+') AS w FROM documents UNION ALL SELECT 'i', item_id, regexp_extract_all(nfc_normalize(lower(text)), '[\\pL\\pN]+') FROM eval_items),
+          r AS (SELECT k, id, p, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM w WHERE len(w) >= 12)),
+          h AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.p FROM r d JOIN r i ON d.run = i.run WHERE d.k = 'd' AND i.k = 'i'),
+          s AS (SELECT *, lag(p) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS before FROM h)
+          SELECT doc_id, item_id, sum(least(12, p - coalesce(before, p - 12)))::BIGINT AS n_words FROM s GROUP BY 1, 2""",
         "p3_found": """SELECT OBJEKTART AS objektart, feature_id FROM features WHERE OBJEKTART IS NOT NULL AND source IS NOT NULL AND change_day IS NOT NULL AND h3_cell_count IS NOT NULL
           QUALIFY row_number() OVER (PARTITION BY OBJEKTART, source, change_day ORDER BY h3_cell_count DESC, feature_id) <= 3""",
         "p5_overlaps": f"WITH {five} SELECT * FROM r",

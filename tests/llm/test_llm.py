@@ -196,14 +196,33 @@ def test_mail_parts():
     assert len(text) == 2 and "Hi & " in text[0] and "crooked" in text[0] and text[1].startswith("Hallo")
 
 
-@pytest.mark.parametrize("sent", [leaks.SENT, 0])
-def test_leaks(spark, sent):
+@pytest.mark.parametrize("bits", [leaks.MOST_BITS, 6])
+def test_leaks(spark, bits):
+    """With a filter of 64 bits, too, which nearly all shingles pass."""
     docs = spark.createDataFrame([(k, t, "x") for k, (t, _) in mails().items()], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(70, ITEM), (71, "too short"), (72, None), (73, ""), (74, "wholly other words " * 9)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items, sent=sent).collect()}
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items, most_bits=bits).collect()}
     assert got == {(k, 70) for k, (_, hit) in mails().items() if hit}
 
 
+def test_words_leaked(spark):
+    rng = random.Random(9)
+    voc = [f"w{i}" for i in range(40)]
+    item = [rng.choice(voc) for _ in range(90)]
+    items = {1: item, 2: item[20:50], 3: ["a", "b"] * 20, 4: [rng.choice("pq") for _ in range(60)]}
+    docs = {1: item[0:12] + ["x"] + item[40:52], 2: item[30:60], 3: item[5:25] + item[10:30], 4: ["b", "a"] * 9, 5: item[:11] + ["x"] + item[12:23], 6: [rng.choice("pq") for _ in range(300)], 7: [], 8: item * 2}
+    want = {}
+    for d, t in docs.items():
+        for i, own in items.items():
+            hit = {k + j for k in range(len(own) - 11) for p in range(len(t) - 11) if own[k : k + 12] == t[p : p + 12] for j in range(12)}
+            if hit:
+                want[d, i] = len(hit)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in leaks.leaks(df, it).collect()}
+    assert got == want and want[1, 1] == 24 and (4, 3) in want and (5, 1) not in want
+
+
 def test_leaks_of_nothing(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert leaks.leaks(docs, items).count() == 0 and leaks.leaks(spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), items.limit(0)).count() == 0
