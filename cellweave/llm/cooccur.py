@@ -27,9 +27,9 @@ def pairs(rows: DataFrame, basket: str, item: str) -> DataFrame:
     w = written(baskets(rows, basket, item))
     total = w.agg(F.sum("weight")).first()[0] or 0
     single = w.select(F.explode("items").alias("i"), "weight").groupBy("i").agg(F.sum("weight").alias("n"))
-    # Each item takes those after it: the pairs of one distinct basket, never of a group of rows.
-    rest = F.transform("items", lambda x, i: F.struct(x.alias("a"), F.slice(F.col("items"), i + 2, F.greatest(F.size("items") - i - 1, F.lit(0))).alias("b")))
-    one = w.select(F.explode(rest).alias("r"), "weight").select(F.col("r.a").alias("item_a"), F.explode("r.b").alias("item_b"), "weight")
+    # Each item takes those after it, a row at a time: the pairs of one distinct basket, never of a group of rows.
+    at = w.select("items", "weight", F.posexplode("items").alias("i", "item_a"))
+    one = at.select("item_a", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("item_b"), "weight")
     p = one.groupBy("item_a", "item_b").agg(F.sum("weight").alias("n_ab"))
     for side in "ab":
         p = p.join(single.select(F.col("i").alias(f"item_{side}"), F.col("n").alias(f"n_{side}")), f"item_{side}")

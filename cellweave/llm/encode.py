@@ -19,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -216,10 +217,13 @@ def encoder(path: str) -> Encoder:
 def encode(df: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, ids) of every row, without special tokens and without shuffle; NULL and empty texts have the empty list.
 
-    ``vocabulary`` is a file of ranks that every executor can read.
+    ``vocabulary`` is a file of ranks on the driver; it is shipped to the executors.
     """
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             at, rows = 0, b.num_rows

@@ -30,15 +30,41 @@ def p2_distinct_cells(spark, d):
 
 
 def p2_partials(spark, d):
-    """Mergeable partial results of each day and source."""
+    """Mergeable partial results of each day and source: one sketch a row."""
     return sketches.sketch(t(spark, d, "features"), ["change_day", "source"], "h3_cells")
 
 
+def p2_band(spark, d):
+    """Every group of p2_distinct_cells with its exact count, and whether that lies in the stated band, widened by two standard errors and a cell."""
+    flags = [f"is_all_{k}" for k in KEYS]
+    v = t(spark, d, "features").select(*KEYS, F.explode("h3_cells").alias("cell")).where("cell is not null").distinct()
+    sets = [[F.col(k) for i, k in enumerate(KEYS) if n >> i & 1] for n in range(2 ** len(KEYS))]
+    exact = v.groupingSets(sets, *KEYS).agg(F.countDistinct("cell").alias("n"), *[F.grouping(k).cast("boolean").alias(f) for k, f in zip(KEYS, flags)])
+    e = p2_distinct_cells(spark, d).select(*[F.col(c).alias(f"e_{c}") for c in KEYS + flags], (F.col("lower") * F.exp(-2 * F.col("rel_error")) - 1).alias("lower"), (F.col("upper") * F.exp(2 * F.col("rel_error")) + 1).alias("upper"))
+    on = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in KEYS + flags]
+    return exact.join(e, on, "left").select(*KEYS, *flags, "n", F.coalesce(F.col("n").between(F.col("lower"), F.col("upper")), F.lit(False)).alias("inside"))
+
+
 def p2_joint_sources(spark, d):
     """Union, intersection and Jaccard of the cells of every pair of sources."""
     return sketches.joint(sketches.sketch(t(spark, d, "features"), ["source"], "h3_cells"), "source")
 
 
+def p2_joint_objektart(spark, d):
+    """Union, intersection and Jaccard of the cells of every pair of OBJEKTART values."""
+    return sketches.joint(sketches.sketch(t(spark, d, "features"), ["OBJEKTART"], "h3_cells"), "OBJEKTART")
+
+
+def p2_joint_band(spark, d):
+    """The pairs of p2_joint_objektart that share cells, with the exact numbers, and whether these lie within four stated errors, to a cell."""
+    x, j = p5_overlaps(spark, d), p2_joint_objektart(spark, d)
+    j = j.select(F.col("key_a").alias("objektart_a"), F.col("key_b").alias("objektart_b"), "n_union", "n_union_error", "n_both", "n_both_error", "jaccard", "jaccard_error")
+    n = F.col("n_a") + F.col("n_b") - F.col("n_shared")
+    near = lambda exact, c, least: F.abs(exact - F.col(c)) <= 4 * F.col(f"{c}_error") + least
+    inside = near(n, "n_union", 1) & near(F.col("n_shared"), "n_both", 1) & near(F.col("n_shared") / n, "jaccard", 0.01)
+    return x.join(j, ["objektart_a", "objektart_b"], "left").select("objektart_a", "objektart_b", n.alias("n_union"), "n_shared", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
 def p3_found(spark, d):
     f = t(spark, d, "features").where("OBJEKTART is not null and source is not null and change_day is not null")
     rows = f.select("OBJEKTART", "source", "change_day", "h3_cell_count", "feature_id")
@@ -97,7 +123,7 @@ def p10_shared(spark, d):
     return spans.shared_parts(_docs(spark, d)).withColumnRenamed("id", "doc_id").withColumn("share", F.round("share", 6))
 
 
-QUERIES = [p1_found, p1_restored, p2_distinct_cells, p2_partials, p2_joint_sources, p3_found, p5_found, p5_overlaps, p6_found, p6_pairs, p8_ids, p9_found, p9_leaks, p9_stored_leaks, p10_found, p10_shared]
+QUERIES = [p1_found, p1_restored, p2_distinct_cells, p2_band, p2_partials, p2_joint_sources, p2_joint_objektart, p2_joint_band, p3_found, p5_found, p5_overlaps, p6_found, p6_pairs, p8_ids, p9_found, p9_leaks, p9_stored_leaks, p10_found, p10_shared]
 
 
 def queries() -> dict:
@@ -112,7 +138,10 @@ def sql() -> dict[str, str]:
       z AS (SELECT o, count(*) AS n FROM s GROUP BY 1), t AS (SELECT count(DISTINCT cell) AS n FROM s), p AS (SELECT a.o AS objektart_a, b.o AS objektart_b, count(*) AS n_ab FROM s a JOIN s b ON a.cell = b.cell AND a.o < b.o GROUP BY 1, 2),
       r AS (SELECT p.objektart_a, p.objektart_b, x.n AS n_a, y.n AS n_b, p.n_ab, t.n AS n FROM p JOIN z x ON x.o = objektart_a JOIN z y ON y.o = objektart_b CROSS JOIN t)"""
     ten = "SELECT doc_id, i, md5_number(substring(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)"
+    flags = ", ".join(f"grouping({k}) = 1 AS is_all_{k}" for k in KEYS)
     return {
+        "p2_band": f"""SELECT {", ".join(KEYS)}, {flags}, count(DISTINCT cell) AS n, true AS inside FROM (SELECT {", ".join(KEYS)}, unnest(h3_cells) AS cell FROM features) WHERE cell IS NOT NULL GROUP BY CUBE ({", ".join(KEYS)})""",
+        "p2_joint_band": f"WITH {five} SELECT objektart_a, objektart_b, n_a + n_b - n_shared AS n_union, n_shared, true AS inside FROM r",
         "p10_found": f"""WITH w AS (SELECT DISTINCT doc_id, h FROM ({ten})) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
         "p10_shared": f"""WITH p AS ({ten}), r AS (SELECT h FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p WHERE h IN (SELECT h FROM r)),
           c AS (SELECT doc_id, sum(least(400, i - coalesce(before, i - 400)))::INT AS shared FROM s GROUP BY 1)

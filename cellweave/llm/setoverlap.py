@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.stage import written
 
+#: Rows a range of identifiers has, as far as sampled quantiles tell: what one merge holds, 8 bytes each.
+ROWS = 2_000_000
 SCHEMA = "set_a string, set_b string, n bigint"
 
 
@@ -62,11 +64,13 @@ def overlaps(df: DataFrame, key: str, array: str) -> DataFrame:
     """(set_a, set_b, n_a, n_b, n_shared, error_bound), set_a < set_b by code points, pairs that share something.
 
     Members are made distinct per set first, so that an identifier held by millions of rows of a set is one row; then
-    they are range-partitioned by identifier, and each range is merged on its own. Counts are exact, so the error
+    they are range-partitioned by identifier, as many ranges as the rows ask for, and each is merged on its own. Counts are exact, so the error
     bound is 0. What leaves a range is bounded by the pairs of sets. NULL keys, arrays and members are left out.
     """
     flat = df.where(F.col(key).isNotNull()).select(F.col(key).alias("s"), F.explode(F.array_distinct(array)).alias("id")).where("id is not null").distinct()
-    parts = flat.repartitionByRange("id").sortWithinPartitions("s", "id").mapInArrow(_count_pairs, SCHEMA)
+    flat = written(flat)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-flat.count() // ROWS))
+    parts = flat.repartitionByRange(ranges, "id").sortWithinPartitions("s", "id").mapInArrow(_count_pairs, SCHEMA)
     n = written(parts.groupBy("set_a", "set_b").agg(F.sum("n").alias("n")))
     size = n.where("set_a = set_b")
     out = n.where("set_a <> set_b").select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), F.col("n").alias("n_shared"))

@@ -6,7 +6,9 @@ same m and b merge by the maximum. Counts come from the Poisson likelihood P(reg
 holds from the empty set on; unions, intersections and Jaccard from the joint likelihood of two sets of registers.
 The relative standard error is about sqrt((((b+1)/(b-1)) * ln b - 1) / m): 1.57 % for the defaults.
 
-Sketches are kept in long form (keys, idx, reg), at most m rows a set whatever its size.
+A sketch is one row (keys, regs): regs has three bytes for each register that is filled (its number, low byte first,
+and its value), or all m values where that is shorter. It is merged before and after it is shuffled, so a set held by
+many rows sends one sketch a task.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stage import written
+
 M_BITS, BASE, TOP = 12, 1.2, 250
 
 
@@ -34,23 +38,104 @@ def register(value: Column, m_bits: int = M_BITS, base: float = BASE) -> tuple[C
     return h.bitwiseAND(F.lit(2**m_bits - 1)).cast("int"), k.cast("int")
 
 
+def packed(idx: np.ndarray, reg: np.ndarray, m: int) -> bytes:
+    if 3 * len(idx) < m:
+        out = np.empty((len(idx), 3), np.uint8)
+        out[:, 0], out[:, 1], out[:, 2] = idx & 255, idx >> 8, reg
+        return out.tobytes()
+    out = np.zeros(m, np.uint8)
+    out[idx] = reg
+    return out.tobytes()
+
+
+def unpacked(regs: bytes, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, values) of the filled registers."""
+    a = np.frombuffer(regs, np.uint8)
+    if len(a) == m:
+        at = np.flatnonzero(a)
+        return at, a[at]
+    a = a.reshape(-1, 3)
+    return a[:, 0].astype(np.int64) | a[:, 1].astype(np.int64) << 8, a[:, 2]
+
+
+def _merged(n_keys: int, m: int):
+    """One row for each run of equal keys: registers (idx, reg) or sketches (regs) merged by the maximum. One array of m values is all that is held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, names, kinds = np.zeros(m, np.uint8), None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            long = b.num_columns == n_keys + 2
+            names, kinds = b.schema.names[:n_keys], [b.schema.field(k).type for k in range(n_keys)]
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for k in range(n_keys):
+                x, y = b.column(k).slice(1), b.column(k).slice(0, b.num_rows - 1)
+                new[1:] |= pc.and_not(pc.fill_null(pc.not_equal(x, y), True), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            keys = list(zip(*(b.column(k).take(pa.array(starts)).to_pylist() for k in range(n_keys)))) or [()] * len(starts)
+            done: list[tuple] = []
+            if long:
+                idx, reg = (b.column(n_keys + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for key, lo, hi in zip(keys, starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+                if key != last and last is not None:
+                    at = np.flatnonzero(own)
+                    done.append((last, packed(at, own[at], m)))
+                    own[:] = 0
+                last = key
+                if long:
+                    np.maximum.at(own, idx[lo:hi], reg[lo:hi].astype(np.uint8))
+                else:
+                    for r in b.column(n_keys).slice(lo, hi - lo):
+                        i, v = unpacked(r.as_py(), m)
+                        own[i] = np.maximum(own[i], v)
+            if done:
+                yield batch(done, names, kinds)
+        if last is not None:
+            at = np.flatnonzero(own)
+            yield batch([(last, packed(at, own[at], m))], names, kinds)
+
+    def batch(done, names, kinds) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([d[0][k] for d in done], t) for k, t in enumerate(kinds)), pa.array([d[1] for d in done], pa.binary())], [*names, "regs"])
+
+    return run
+
+
+def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "regs binary"])
+
+
+def _together(rows: DataFrame, keys: Sequence[str], m_bits: int) -> DataFrame:
+    """(keys, regs), one row per set: merged where the rows are, shuffled, merged again."""
+    keys, run, ddl = list(keys), _merged(len(keys), 2**m_bits), _ddl(rows, keys)
+    cols = [F.col(f"`{k}`") for k in keys]
+    local = (rows.sortWithinPartitions(*cols) if keys else rows).mapInArrow(run, ddl)
+    moved = local.repartition(*cols).sortWithinPartitions(*cols) if keys else local.coalesce(1)
+    return moved.mapInArrow(run, ddl)
+
+
 def sketch(df: DataFrame, keys: Sequence[str], array: str, m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
-    """(keys, idx, reg) of the values in an array column. NULL arrays, empty arrays and NULL values add nothing; a NULL key is a set of its own."""
+    """(keys, regs) of the values in an array column. NULL arrays, empty arrays and NULL values add nothing; a NULL key is a set of its own."""
     v = df.select(*keys, F.explode(F.array_distinct(array)).alias("__v")).where("__v is not null")
     idx, reg = register(F.col("__v"), m_bits, base)
-    return v.select(*keys, idx.alias("idx"), reg.alias("reg")).groupBy(*keys, "idx").agg(F.max("reg").alias("reg"))
+    long = v.select(*keys, idx.alias("idx"), reg.alias("reg")).groupBy(*keys, "idx").agg(F.max("reg").alias("reg"))
+    return _together(long, keys, m_bits)
 
 
-def merge(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge(sketches: DataFrame, keys: Sequence[str], m_bits: int = M_BITS) -> DataFrame:
     """Union of sketches down to the given keys."""
-    return sketches.groupBy(*keys, "idx").agg(F.max("reg").alias("reg"))
+    return _together(sketches.select(*keys, "regs"), keys, m_bits)
 
 
-def cube(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """merge() for every combination of keys at once: the keys, is_all_<key> flags, idx, reg."""
-    sets = [[F.col(k) for i, k in enumerate(keys) if n >> i & 1] + [F.col("idx")] for n in range(2 ** len(keys))]
-    g = sketches.groupingSets(sets, *keys, "idx")
-    return g.agg(F.max("reg").alias("reg"), *[F.grouping(k).cast("boolean").alias(f"is_all_{k}") for k in keys])
+def cube(sketches: DataFrame, keys: Sequence[str], m_bits: int = M_BITS) -> DataFrame:
+    """merge() for every combination of keys at once: the keys, is_all_<key> flags, regs."""
+    keys = list(keys)
+    null = {k: F.lit(None).cast(sketches.schema[k].dataType) for k in keys}
+    sets = F.array(*[F.struct(*[F.lit(bool(n >> i & 1)).alias(f"is_all_{k}") for i, k in enumerate(keys)]) for n in range(2 ** len(keys))])
+    wide = sketches.withColumn("__all", F.explode(sets))
+    flags = [f"is_all_{k}" for k in keys]
+    wide = wide.select(*[F.when(F.col(f"__all.is_all_{k}"), null[k]).otherwise(F.col(k)).alias(k) for k in keys], *[F.col(f"__all.{f}").alias(f) for f in flags], "regs")
+    return _together(wide, keys + flags, m_bits)
 
 
 def _count(c: np.ndarray, m: int, base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -84,33 +169,47 @@ def _count(c: np.ndarray, m: int, base: float) -> tuple[np.ndarray, np.ndarray]:
     return np.where(filled > 0, n, 0.0), np.where(filled > 0, err, 0.0)
 
 
-def _counts(hist: DataFrame, keys: Sequence[str], m_bits: int, base: float) -> DataFrame:
-    m, schema = 2**m_bits, [f for f in hist.schema.fields if f.name in keys]
-    keys = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c = np.zeros((b.num_rows, TOP + 2))
-            h = b.column(len(keys))
-            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(h).to_numpy(zero_copy_only=False))
-            flat = h.flatten()
-            c[row, flat.field("reg").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
-            c[:, 0] = m - c[:, 1:].sum(1)
-            n, err = _count(c, m, base)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(n), pa.array(err)], [*keys, "n_distinct", "rel_error"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_distinct double, rel_error double"
-    return hist.select(*keys, "h").mapInArrow(run, ddl)
+def count(sketches: DataFrame, keys: Sequence[str], m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
+    """(keys, n_distinct, rel_error, lower, upper): estimate, its standard error from the curvature of the likelihood, and the band of three of them.
 
+    A small set loses values whole, where two fall into one register; as many as that happens to in 99.87 % of sets are
+    in the band too.
+    """
+    m, keys = 2**m_bits, list(keys)
 
-def count(sketches: DataFrame, keys: Sequence[str], m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
-    """(keys, n_distinct, rel_error, lower, upper): estimate, its standard error from the curvature of the likelihood, and the band of three of them."""
-    hist = sketches.groupBy(*keys, "reg").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.collect_list(F.struct("reg", "n")).alias("h"))
-    out = _counts(hist, keys, m_bits, base)
-    n, e = F.col("n_distinct"), F.col("rel_error")
-    return out.withColumns({"lower": n * F.exp(-3 * e), "upper": n * F.exp(3 * e)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                c = np.zeros((b.num_rows, TOP + 2))
+                for k, r in enumerate(b.column(len(keys))):
+                    c[k] = _histogram(r.as_py(), m)
+                n, err = _count(c, m, base)
+                band = n * np.exp(-3 * err), np.maximum(n * np.exp(3 * err), n + np.array([_collisions(x * x / (2 * m)) for x in n.tolist()]))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *map(pa.array, (n, err, *band))], [*keys, "n_distinct", "rel_error", "lower", "upper"])
+
+    ddl = ", ".join([*(f"`{k}` {sketches.schema[k].dataType.simpleString()}" for k in keys), "n_distinct double, rel_error double, lower double, upper double"])
+    return sketches.select(*keys, "regs").mapInArrow(run, ddl)
+
+
+def _collisions(mean: float) -> float:
+    """The number that a Poisson variable of this mean exceeds in 0.13 % of cases; 0 where the normal band holds it."""
+    if mean > 50:
+        return 0.0
+    k, p = 0, math.exp(-mean)
+    total = p
+    while total < 0.99865:
+        k += 1
+        p *= mean / k
+        total += p
+    return k + 0.1 * (k > 0)
+
+
+def _histogram(regs: bytes, m: int) -> np.ndarray:
+    """The number of registers by value."""
+    c = np.bincount(unpacked(regs, m)[1], minlength=TOP + 2).astype(float)
+    c[0] = m - c[1:].sum()
+    return c
 
 
 def _joint(ra: np.ndarray, rb: np.ndarray, n: np.ndarray, m: int, base: float, a0: float, b0: float) -> dict:
@@ -175,44 +274,47 @@ def _joint(ra: np.ndarray, rb: np.ndarray, n: np.ndarray, m: int, base: float, a
 JOINT = "key_a string, key_b string, n_a double, n_b double, n_union double, n_union_error double, n_both double, n_both_error double, jaccard double, jaccard_error double"
 
 
+#: Sets a block of joint() has at most, as far as hashing spreads them: two blocks, 4 KB a set, are what a task holds.
+BLOCK = 128
+
+
 def joint(sketches: DataFrame, key: str, m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
     """Every pair of non-NULL keys with a register in common: sizes, union, intersection and Jaccard with standard errors.
 
-    Registers meet by an equality on idx, which holds at most one row per set; what is counted per pair is its joint
-    histogram. Cases with one register empty follow from the histograms of the single sets.
+    Sets are dealt to blocks; every two blocks meet in one group of at most twice BLOCK sketches, whatever the sets
+    hold, so the pairs, which are the result, are spread over as many tasks as there are pairs of blocks.
     """
     m = 2**m_bits
-    s = merge(sketches.where(F.col(key).isNotNull()), [key]).select(F.col(key).cast("string").alias("k"), "idx", "reg")
-    per = s.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("k", "reg"))).alias("l"))
-    pair = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice(F.col("l"), i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda y: F.struct(x["k"].alias("key_a"), y["k"].alias("key_b"), x["reg"].alias("ra"), y["reg"].alias("rb")))))
-    j = per.select(F.explode(pair).alias("p")).select("p.*").groupBy("key_a", "key_b", "ra", "rb").agg(F.count("*").alias("n"))
-    j = j.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("ra", "rb", "n")).alias("h"))
-    one = s.groupBy("k", "reg").agg(F.count("*").alias("n")).groupBy("k").agg(F.collect_list(F.struct("reg", "n")).alias("h"))
-    for side in "ab":
-        j = j.join(one.select(F.col("k").alias(f"key_{side}"), F.col("h").alias(f"h_{side}")), f"key_{side}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for d in b.to_pylist():
-                cells = {(x["ra"], x["rb"]): x["n"] for x in d["h"]}
-                c, n0 = {}, []
-                for side, hist in (("a", d["h_a"]), ("b", d["h_b"])):
-                    c[side] = np.zeros((1, TOP + 2))
-                    for x in hist:
-                        c[side][0, x["reg"]] = x["n"]
-                    left = c[side][0].copy()
-                    for (i, k), n in list(cells.items()):
-                        if i and k:
-                            left[i if side == "a" else k] -= n
-                    for v in np.flatnonzero(left > 0):
-                        cells[(int(v), 0) if side == "a" else (0, int(v))] = left[v]
-                    c[side][0, 0] = m - c[side][0, 1:].sum()
-                    n0.append(float(_count(c[side], m, base)[0][0]))
-                cells[0, 0] = m - sum(cells.values())
-                ra, rb = (np.array([x[i] for x in cells]) for i in (0, 1))
-                rows.append({"key_a": d["key_a"], "key_b": d["key_b"], "n_a": n0[0], "n_b": n0[1]} | _joint(ra, rb, np.array(list(cells.values()), float), m, base, *n0))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
-
-    return j.mapInArrow(run, JOINT)
+    s = written(merge(sketches.where(F.col(key).isNotNull()), [key], m_bits).select(F.col(key).cast("string").alias("k"), "regs"))
+    blocks = max(1, -(-s.count() // BLOCK))
+    own = s.withColumn("mine", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least("mine", x).alias("x"), F.greatest("mine", x).alias("y")))
+    groups = own.withColumn("g", F.explode(others)).select(F.col("g.x").alias("x"), F.col("g.y").alias("y"), "mine", "k", "regs")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = key[0].as_py(), key[1].as_py()
+        sets = [(n, k, _full(r, m)) for n, k, r in zip(*(table.column(c).to_pylist() for c in ("mine", "k", "regs")))]
+        rows = []
+        for i, (p, a, ra) in enumerate(sets):
+            for q, b, rb in sets[i + 1 :] if x == y else sets:
+                if x != y and not (p == x and q == y):
+                    continue
+                (a_, ra_), (b_, rb_) = sorted([(a, ra), (b, rb)], key=lambda z: z[0])
+                if not ((ra_ > 0) & (rb_ > 0)).any():
+                    continue
+                both, n = np.unique(ra_.astype(np.int64) * 256 + rb_, return_counts=True)
+                n0 = [float(_count(np.bincount(r, minlength=TOP + 2)[None, :].astype(float), m, base)[0][0]) for r in (ra_, rb_)]
+                rows.append({"key_a": a_, "key_b": b_, "n_a": n0[0], "n_b": n0[1]} | _joint(both >> 8, both & 255, n.astype(float), m, base, *n0))
+        return pa.Table.from_pylist(rows, schema=SCHEMA)
+
+    return groups.groupBy("x", "y").applyInArrow(run, JOINT)
+
+
+SCHEMA = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.float64()) for c in JOINT.split(", ")])
+
+
+def _full(regs: bytes, m: int) -> np.ndarray:
+    out = np.zeros(m, np.uint8)
+    at, v = unpacked(regs, m)
+    out[at] = v
+    return out
