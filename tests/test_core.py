@@ -18,10 +18,11 @@ from cellweave.sources import store as ST
 G = PlanarGrid()
 
 
-def test_near_against_brute_force(spark):
+@pytest.mark.parametrize("crowd, split", [(N.CROWD, 2), (0, 2), (3, 1), (2, 3)])
+def test_near_against_brute_force(spark, crowd, split):
     rng = random.Random(1)
     pts = [(i, rng.uniform(0, 1500), rng.uniform(0, 1500)) for i in range(400)] + [(900, 10.0, 10.0), (901, 10.0, 10.0), (901, 10.0, 10.0), (902, 110.0, 10.0), (903, None, 1.0)]
-    got = sorted(tuple(r) for r in N.near(spark.createDataFrame(pts, "id long, x double, y double"), 100).distinct().collect())
+    got = sorted(tuple(r) for r in N.near(spark.createDataFrame(pts, "id long, x double, y double"), 100, split=split, crowd=crowd).collect())
     own = {i: (x, y) for i, x, y in pts if x is not None}
     want = sorted((a, b) for a in own for b in own if a < b and (own[a][0] - own[b][0]) ** 2 + (own[a][1] - own[b][1]) ** 2 <= 10_000)
     assert got == want and (900, 901) in got and (900, 902) in got
