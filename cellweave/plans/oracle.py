@@ -185,6 +185,27 @@ def sql() -> dict[str, str]:
           WHERE a.feature_id < b.feature_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 UNION ALL
           SELECT DISTINCT 'inside', least(a.feature_id, b.feature_id), greatest(a.feature_id, b.feature_id) FROM lu a JOIN lk b ON a.anc = b.cell JOIN features f ON f.feature_id = b.feature_id WHERE f.OBJEKTART = 'Gemeindegebiet' AND a.feature_id <> b.feature_id""",
     )
+    # Well-known binary by hexadecimal digits: little-endian doubles and counts.
+    def double(at: str) -> str:
+        bits = " + ".join(f"(('0x' || substr(x, 2 * ({at}) + {2 * k + 1}, 2))::HUGEINT << {8 * k})" for k in range(8))
+        return f"(SELECT CASE WHEN b & 9223372036854775807 = 0 THEN 0.0 ELSE (CASE WHEN b >> 63 = 1 THEN -1 ELSE 1 END) * (1 + (b & 4503599627370495)::DOUBLE / 4503599627370496) * pow(2, (((b >> 52) & 2047) - 1023)::DOUBLE) END FROM (SELECT {bits} AS b))"
+
+    shapes = """raw AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST, UUID NULLS FIRST, NAME NULLS FIRST, OBJEKTART NULLS FIRST, geometry NULLS FIRST) - 1 AS region_id, *, hex(geometry) AS x FROM raw_features)"""
+    out["p4_inside_polygons"] = q(
+        loc, shapes,
+        f"""ring AS (SELECT region_id, k, {double('13 + 16 * k')} AS px, {double('21 + 16 * k')} AS py FROM (SELECT region_id, x, unnest(range(0, ('0x' || substr(x, 19, 2))::INT)) AS k FROM raw
+          WHERE x LIKE '010300000001000000%' AND length(x) >= 26 AND length(x) >= 2 * (13 + 16 * ('0x' || substr(x, 19, 2))::INT)))""",
+        "edge AS (SELECT a.region_id, a.px AS ax, a.py AS ay, b.px AS qx, b.py AS qy FROM ring a JOIN ring b ON a.region_id = b.region_id AND b.k = a.k + 1)",
+        "spot AS (SELECT feature_id, (x + 0.5) * 32 + 2400000 AS x, (y + 0.5) * 32 + 1000000 AS y FROM loc)",
+        select="SELECT feature_id, region_id FROM spot JOIN edge ON (ay > y) <> (qy > y) AND x < (qx - ax) * (y - ay) / (qy - ay) + ax GROUP BY 1, 2 HAVING count(*) % 2 = 1",
+    )
+    digits = " + ".join(f"(((((iy >> {13 - k}) & 1) * 2 + ((ix >> {13 - k}) & 1))::BIGINT) << {(15 - k) * 3})" for k in range(1, 14))
+    out["geometry_points"] = q(
+        f"pt AS (SELECT UUID, NAME, OBJEKTART, source, {double('5')} AS px, {double('13')} AS py FROM (SELECT *, hex(geometry) AS x FROM raw_features) WHERE x LIKE '0101000000%' AND length(x) >= 42)",
+        "b AS (SELECT *, floor((px - 2400000) / 300000)::INT AS jx, floor((py - 1000000) / 300000)::INT AS jy FROM pt WHERE isfinite(px) AND isfinite(py))",
+        "i AS (SELECT *, floor((px - 2400000 - jx * 300000) / 32)::INT AS ix, floor((py - 1000000 - jy * 300000) / 32)::INT AS iy FROM b WHERE jx BETWEEN 0 AND 10 AND jy >= 0 AND jy * 11 + jx < 128)",
+        select=f"SELECT UUID, NAME, OBJEKTART, source, [(1::BIGINT << 59) + (13::BIGINT << 52) + ((jy * 11 + jx)::BIGINT << 45) + {digits} + 63] AS h3_cells, 13::TINYINT AS h3_resolution, 1::INT AS h3_cell_count FROM i WHERE ix < 8192 AND iy < 8192",
+    )
     out["p7_keys"] = "SELECT OBJEKTART AS objektart, count(*) AS n_rows, sum(h3_cell_count)::BIGINT AS sum_cells, max(h3_cell_count) AS max_cells FROM features GROUP BY 1"
     out["p7_found"] = "SELECT OBJEKTART AS objektart FROM features WHERE OBJEKTART IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.05 * (SELECT count(*) FROM features)"
     return out

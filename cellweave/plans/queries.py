@@ -70,6 +70,12 @@ def geometry_cover(spark, d):
     return G.convert(t(spark, d, "raw_features"), BuildConfig.for_gazetteer("swissnames3d"))
 
 
+def geometry_points(spark, d):
+    """geometry_cover of the points alone: one cell of the finest resolution each."""
+    raw = t(spark, d, "raw_features").where(F.hex(F.substring("geometry", 1, 5)) == "0101000000")
+    return G.convert(raw, BuildConfig.for_gazetteer("swissnames3d"))
+
+
 def lookup_build(spark, d):
     return S.lookup(t(spark, d, "features"))
 
@@ -279,7 +285,7 @@ def p7_found(spark, d):
 
 
 QUERIES = [
-    source_discovery, feature_scan_union, feature_scan_tolerant, feature_ids, geometry_cover, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
+    source_discovery, feature_scan_union, feature_scan_tolerant, feature_ids, geometry_cover, geometry_points, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
     npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
     slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
     cell_parent, cell_resolution, multires_union, multires_intersection, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
