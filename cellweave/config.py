@@ -7,6 +7,8 @@ from pathlib import Path
 
 import yaml
 
+from .sources.paths import clean, join
+
 BUNDLED = Path(__file__).with_name("configs")
 
 
@@ -79,9 +81,10 @@ class BuildConfig:
             raise FileNotFoundError(f"no bundled configuration for {name!r}; there are: {', '.join(sorted(p.stem for p in BUNDLED.glob('*.yaml')))}")
         return cls.from_yaml(path)
 
-    def resolve_output_path(self, base: str | Path) -> Path:
-        out = Path(self.output_file)
-        return out if out.is_absolute() else Path(base) / out
+    def resolve_output_path(self, base: str | Path) -> Path | str:
+        """The store's folder: text for an address (s3a://, hdfs://), which a Path would spoil, else a Path."""
+        out = join(clean(base), self.output_file)
+        return out if "://" in out else Path(out)
 
 
 def resolve_config(explicit: SentenceConfig | None = None, config_path: str | Path | None = None, gazetteer: str | None = None) -> SentenceConfig:

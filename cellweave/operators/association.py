@@ -9,7 +9,7 @@ from . import cellsets as S
 from .stage import written
 
 #: Categories are a vocabulary, not data: the dense matrix is only made up to this many.
-MOST_CATEGORIES = 10_000
+MOST_CATEGORIES = 3_000
 
 
 def npmi(p_a: Column, p_b: Column, p_ab: Column) -> Column:
@@ -71,8 +71,8 @@ def compute_all(features: DataFrame, total_area_resolution: int = 10, col: str =
     reach the driver.
     """
     own = features.select(F.explode(F.array_distinct(cells)).alias("cell")).where("cell is not null").distinct()
-    levels = S.levels_of(own)
-    total = S.total_area(own, total_area_resolution).first()[0]
+    levels = S.levels_in(features, cells)
+    total = S.total_area(own, total_area_resolution, levels=levels).first()[0]
     cover = written(S.canonical(category_cover(features, col, cells), ["category"], levels))
     return scores(S.area(cover, ["category"]), S.pair_area(cover, "category", levels), total, collect_categories(features, col))
 

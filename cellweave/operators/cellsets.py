@@ -46,9 +46,10 @@ def area(cover: DataFrame, key: Sequence[str] = (), name: str = "area_m2") -> Da
     return cover.groupBy(*key).agg(F.coalesce(F.sum(C.area_m2("cell")), F.lit(0).cast("bigint")).alias(name))
 
 
-def total_area(cells: DataFrame, res: int = 10, name: str = "total_m2") -> DataFrame:
-    """Area of all cells together, cells finer than ``res`` taken as their ancestor there."""
-    return area(canonical(cells.where("cell is not null").select(C.coarsen("cell", res).alias("cell"))), name=name)
+def total_area(cells: DataFrame, res: int = 10, name: str = "total_m2", levels: Iterable[int] | None = None) -> DataFrame:
+    """Area of all cells together, cells finer than ``res`` taken as their ancestor there. levels: the resolutions that occur, if known."""
+    levels = None if levels is None else {min(r, res) for r in levels}
+    return area(canonical(cells.where("cell is not null").select(C.coarsen("cell", res).alias("cell")), levels=levels), name=name)
 
 
 def matches(cover: DataFrame, key: str, levels: Iterable[int] | None = None) -> DataFrame:

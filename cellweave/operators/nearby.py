@@ -104,7 +104,9 @@ def coverage(polygons: DataFrame, min_resolution: int = 5, max_resolution: int =
                     continue
                 yield pd.DataFrame({"region_id": i, "cell": [c for c, _ in got], "interior": [k for _, k in got]})
 
-    return polygons.where("wkb is not null").select("region_id", "wkb").mapInPandas(run, "region_id bigint, cell bigint, interior boolean")
+    # Dealt out by number of tasks, as a polygon's bytes say little about its work.
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return polygons.where("wkb is not null").select("region_id", "wkb").repartition(tasks, "region_id").mapInPandas(run, "region_id bigint, cell bigint, interior boolean")
 
 
 def inside_polygons(points: DataFrame, polygons: DataFrame, max_resolution: int = 11, run: int = RUN) -> DataFrame:

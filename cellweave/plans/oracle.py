@@ -159,6 +159,17 @@ def sql() -> dict[str, str]:
         "gather_candidates": """WITH c AS (SELECT * FROM candidates), r AS (SELECT doc_id, ref_idx, mention FROM c WHERE doc_id IS NOT NULL AND ref_idx IS NOT NULL GROUP BY 1, 2, 3
           HAVING max(CASE WHEN similarity >= 0.6 THEN location_id_value END) IS NULL) SELECT r.doc_id, r.ref_idx, f.UUID, f.feature_id FROM r JOIN features f ON f.NAME = r.mention
           WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = r.doc_id AND c.ref_idx = r.ref_idx AND c.location_id_value = f.UUID)""",
+        "search_tiers": """WITH m AS (SELECT DISTINCT mention AS t FROM candidates WHERE mention IS NOT NULL), f AS (SELECT feature_id, NAME AS t FROM features WHERE NAME IS NOT NULL),
+          mk AS (SELECT t, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS b FROM m), fk AS (SELECT feature_id, t, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS b FROM f),
+          ml AS (SELECT *, regexp_replace(strip_accents(b), '[^\\pL\\pN]', '', 'g') AS c FROM mk), fl AS (SELECT *, regexp_replace(strip_accents(b), '[^\\pL\\pN]', '', 'g') AS c FROM fk),
+          h AS (SELECT ml.t, feature_id, 1 AS tier FROM ml JOIN fl USING (t) UNION ALL SELECT ml.t, feature_id, 2 FROM ml JOIN fl USING (b) WHERE b <> '' UNION ALL SELECT ml.t, feature_id, 3 FROM ml JOIN fl USING (c) WHERE c <> '')
+          SELECT t AS mention, feature_id, min(tier)::INT AS tier FROM h GROUP BY 1, 2""",
+        "mention_text": "SELECT doc_id, substring(text, 1 + length(text) // 10, length(text) // 5 - length(text) // 10) AS mention FROM documents",
+        "cell_from_text": "SELECT feature_id, cell AS from_hex, cell AS from_decimal FROM h3_lookup",
+        "lookup_store": q(LOOKUP, select=f"SELECT feature_id, cell, {res('cell')}::TINYINT AS cell_res FROM lk"),
+        "uuid_store": "SELECT UUID, feature_id, NAME, OBJEKTART FROM features WHERE UUID IS NOT NULL",
+        "matrix_csv": q(MATRIX, select="SELECT cat_a, cat_b, round(b1, 6) + 0.0 AS b1 FROM m"),
+        "config_precedence": "SELECT * FROM (VALUES ('given', 'Given', 10), ('bundled', 'Gemeinde,Bezirk,Kanton', 10), ('preset', 'Gemeinde,Kanton,Bezirk', 10)) v(wins, labels, max_slots)",
         "candidates_to_embed": """SELECT DISTINCT candidate_id FROM candidates WHERE candidate_id IS NOT NULL AND NOT coalesce(similarity >= 0.6 AND location_id_value IS NOT NULL, false)
           AND candidate_id NOT IN (SELECT candidate_id FROM candidates WHERE gathered_at < TIMESTAMPTZ '2024-01-15 00:00:00+00' AND candidate_id IS NOT NULL)""",
         "resolve_best": "SELECT doc_id, ref_idx, candidate_id FROM (SELECT doc_id, ref_idx, candidate_id, max(similarity) AS similarity FROM candidates WHERE similarity >= 0.6 GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY similarity DESC, candidate_id NULLS FIRST) = 1",
@@ -206,6 +217,13 @@ def sql() -> dict[str, str]:
         "i AS (SELECT *, floor((px - 2400000 - jx * 300000) / 32)::INT AS ix, floor((py - 1000000 - jy * 300000) / 32)::INT AS iy FROM b WHERE jx BETWEEN 0 AND 10 AND jy >= 0 AND jy * 11 + jx < 128)",
         select=f"SELECT UUID, NAME, OBJEKTART, source, [(1::BIGINT << 59) + (13::BIGINT << 52) + ((jy * 11 + jx)::BIGINT << 45) + {digits} + 63] AS h3_cells, 13::TINYINT AS h3_resolution, 1::INT AS h3_cell_count FROM i WHERE ix < 8192 AND iy < 8192",
     )
+    # Shapes that can be read whole: as many bytes as their counts say (the raw features are points, lines and polygons of one ring).
+    count = "('0x' || substr(x, {0}, 2))::INT + 256 * ('0x' || substr(x, {1}, 2))::INT"
+    line, polygon = count.format(11, 13), count.format(19, 21)
+    whole = f"CASE WHEN x LIKE '0101000000%' THEN length(x) >= 42 WHEN length(x) < 26 THEN false WHEN x LIKE '0102000000%' THEN length(x) >= 2 * (9 + 16 * ({line})) WHEN x LIKE '010300000001000000%' THEN length(x) >= 2 * (13 + 16 * ({polygon})) ELSE false END"
+    out["build_store"] = f"""SELECT g.name AS gazetteer, r.source, count(*) AS n FROM (SELECT source, hex(geometry) AS x FROM raw_features) r JOIN gaz_source s ON s.name = r.source JOIN gazetteer g ON g.id = s.gazetteer_id
+      WHERE {whole} GROUP BY 1, 2"""
+    out["geometry_drops"] = f"SELECT source, count(*) AS n_read, count(*) - count(*) FILTER (WHERE {whole}) AS n_dropped FROM (SELECT source, hex(geometry) AS x FROM raw_features WHERE geometry IS NOT NULL) GROUP BY 1"
     out["p7_keys"] = "SELECT OBJEKTART AS objektart, count(*) AS n_rows, sum(h3_cell_count)::BIGINT AS sum_cells, max(h3_cell_count) AS max_cells FROM features GROUP BY 1"
     out["p7_found"] = "SELECT OBJEKTART AS objektart FROM features WHERE OBJEKTART IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.05 * (SELECT count(*) FROM features)"
     return out

@@ -5,12 +5,13 @@ Searches for neighbours take as sources every feature whose id is divisible by 5
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BuildConfig, SentenceConfig
+from ..config import BuildConfig, SentenceConfig, StaticSlot, resolve_config
 from ..functions import cells as C
 from ..operators import association as A
 from ..operators import cellsets as S
@@ -18,9 +19,11 @@ from ..operators import context as X
 from ..operators import nearby as N
 from ..operators import resolve as R
 from ..operators import skew as K
-from ..operators.stage import written
+from ..operators.stage import shared_dir, written
 from ..sources import gazetteer as G
 from ..sources import matrix as M
+from ..sources import store as ST
+from .build import build
 
 #: A lower threshold than the default, as the test categories are nearly independent.
 CONFIG = BuildConfig.for_gazetteer("swissnames3d").sentence
@@ -70,6 +73,12 @@ def geometry_cover(spark, d):
     return G.convert(t(spark, d, "raw_features"), BuildConfig.for_gazetteer("swissnames3d"))
 
 
+def geometry_drops(spark, d):
+    """How many geometries of each source are read, and how many give no cells."""
+    raw = t(spark, d, "raw_features")
+    return G.dropped(raw, G.convert(raw, BuildConfig.for_gazetteer("swissnames3d")))
+
+
 def geometry_points(spark, d):
     """geometry_cover of the points alone: one cell of the finest resolution each."""
     raw = t(spark, d, "raw_features").where(F.hex(F.substring("geometry", 1, 5)) == "0101000000")
@@ -214,6 +223,18 @@ def gather_candidates(spark, d):
     return R.gather(refs, R.search(refs, t(spark, d, "features")), c.withColumnRenamed("location_id_value", "UUID"))
 
 
+def search_tiers(spark, d):
+    """Every mention's features by name: as it is (tier 1), in other case and blanks (2), without accents and signs (3)."""
+    return R.search(t(spark, d, "candidates"), t(spark, d, "features"), method="letters", tiers=3).select("mention", "feature_id", "tier")
+
+
+def mention_text(spark, d):
+    """A stretch of every text by its place, as references give it: from a tenth to a fifth of the text."""
+    n = F.length("text")
+    start, end = F.floor(n / 10).cast("int"), F.floor(n / 5).cast("int")
+    return t(spark, d, "documents").select("doc_id", R.mention_text(F.col("text"), start, end).alias("mention"))
+
+
 def candidates_to_embed(spark, d):
     """Distinct candidates below the similarity that decides; those looked up in the first half of the time are embedded already."""
     c = t(spark, d, "candidates").withColumn("result", F.when(F.col("similarity") >= 0.6, F.col("location_id_value")))
@@ -230,6 +251,53 @@ def description_fallback(spark, d):
     return R.ContextResolver(f, _matrix(spark, d), CONFIG).describe(t(spark, d, "candidates")).select("candidate_id", "feature_id", "description")
 
 
+def cell_from_text(spark, d):
+    """Cells written as hexadecimal or decimal text and read again."""
+    hexa, deci = F.lower(F.hex("cell")), F.col("cell").cast("string")
+    return t(spark, d, "h3_lookup").select("feature_id", C.from_text(hexa).alias("from_hex"), C.from_text(deci).alias("from_decimal"))
+
+
+def lookup_store(spark, d):
+    """Features and cell index written to a store and read back."""
+    at = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    features = ST.write_features(t(spark, d, "features"), at)
+    ST.write_lookup(features, at)
+    return ST.open_store(spark, at)["h3_lookup"]
+
+
+def uuid_store(spark, d):
+    """The store's second copy of features, clustered by UUID."""
+    at = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    ST.write_features(t(spark, d, "features"), at)
+    return ST.open_store(spark, at)["features_by_uuid"]
+
+
+def matrix_csv(spark, d):
+    """The B1 matrix written as CSV and read back."""
+    at = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    M.write_csv(_matrix(spark, d), A.collect_categories(t(spark, d, "features")), at)
+    return M.read_csv(spark, f"{at}/b1_matrix.csv").select("cat_a", "cat_b", F.round("b1", 6).alias("b1"))
+
+
+def build_store(spark, d):
+    """The build of every gazetteer from raw_features: features by gazetteer and source, with dense ids."""
+    raw, out = t(spark, d, "raw_features"), []
+    names = {r[0]: r[1] for r in t(spark, d, "gaz_source").select("name", "location_id_name").collect()}
+    for (name,) in t(spark, d, "gazetteer").select("name").orderBy("name").collect():
+        at = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+        build(spark, BuildConfig(name), d, at, read=lambda n: raw.where(F.col("source") == n).withColumnRenamed("UUID", names[n]))
+        f = ST.open_store(spark, at)["features"]
+        out.append(f.groupBy("source").agg(F.count("*").alias("n")).select(F.lit(name).alias("gazetteer"), "source", "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def config_precedence(spark, d):
+    """Where the settings of the sentences come from: those given, else a file's, else the bundled, else the preset's."""
+    given = SentenceConfig(static_slots=(StaticSlot("Given"),))
+    rows = [("given", resolve_config(given, None, "swissnames3d")), ("bundled", resolve_config(None, None, "swissnames3d")), ("preset", resolve_config(None, None, "nowhere"))]
+    return spark.createDataFrame([(k, ",".join(s.label for s in c.static_slots), c.max_slots) for k, c in rows], "wins string, labels string, max_slots int")
+
+
 def cell_parent(spark, d):
     return t(spark, d, "h3_lookup").where("cell is not null").select("feature_id", "cell", C.parent("cell", 9).alias("parent_9"), C.parent("cell", 5).alias("parent_5"))
 
@@ -285,10 +353,10 @@ def p7_found(spark, d):
 
 
 QUERIES = [
-    source_discovery, feature_scan_union, feature_scan_tolerant, feature_ids, geometry_cover, geometry_points, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
+    source_discovery, feature_scan_union, feature_scan_tolerant, feature_ids, geometry_cover, geometry_points, geometry_drops, lookup_build, store_counts, source_counts, category_list, category_area, total_area, pair_intersection_area,
     npmi_matrix, b1_matrix, b2_matrix, matrix_pivot, associated_categories, associated_dynamic, slot_allocation_proportional, uuid_lookup, intersecting_features, overlap_static_topk,
-    slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, candidates_to_embed, resolve_best, description_fallback,
-    cell_parent, cell_resolution, multires_union, multires_intersection, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
+    slot_allocation, filler_features, sentence_static, sentence_dynamic, sentence_full, sentence_filler, gather_candidates, search_tiers, mention_text, candidates_to_embed, resolve_best, description_fallback,
+    cell_parent, cell_resolution, cell_from_text, lookup_store, uuid_store, matrix_csv, build_store, config_precedence, multires_union, multires_intersection, cosine_resolve, p4_found, p4_inside_polygons, p7_found, p7_keys,
 ]
 
 

@@ -75,6 +75,13 @@ def convert(raw: DataFrame, cfg: BuildConfig, system: CellSystem | None = None)
     return raw.where("geometry is not null").select(*names, "geometry").mapInArrow(run, CONVERTED)
 
 
+def dropped(raw: DataFrame, converted: DataFrame) -> DataFrame:
+    """(source, n_read, n_dropped): rows with a geometry, and how many of them convert() gave nothing for."""
+    read = raw.where("geometry is not null").groupBy("source").agg(F.count("*").alias("n_read"))
+    kept = converted.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+    return read.join(kept, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n_read", (F.col("n_read") - F.coalesce("n", F.lit(0))).alias("n_dropped"))
+
+
 def dense_ids(df: DataFrame, order: list, name: str = "feature_id") -> DataFrame:
     """Ids 0..n-1 in the given order without one task for all rows: range partitions, a count of each, an offset.
 
