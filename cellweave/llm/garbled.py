@@ -45,7 +45,7 @@ REPERTOIRE = "".join(map(chr, (*range(0xA0, 0x180), *range(0x218, 0x21C), *range
 FAR_MORE = 10
 #: As many times more often must the letters of a word that no other name has occur in their places, if they are FAR_MORE times as frequent.
 MORE = 3
-#: A letter isn't taken for the image of one as many times as rare.
+#: In a word without anything out of place, a letter isn't taken for the image of one as many times as rare.
 RARER = 20
 LOST = "�"
 PAIRS = len(ONE_BYTE) ** 2
@@ -226,8 +226,8 @@ def repair(name: str | None, chars: dict[str, int] | None = None) -> tuple[bool,
 
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][0-9A-Za-z\x80-\U0010ffff]*")
 #: Signs that stand beside letters: quotes, apostrophes, dashes, ellipsis, middle dot, ordinals; some of them not between two.
-BESIDE_LETTERS = set("«»„“”‚‘’–—…·ªº")
-NOT_BETWEEN = set("«»„“”‚…")
+BESIDE_LETTERS = set("«»‹›„“”‚‘’–—…·ªº")
+NOT_BETWEEN = set("«»‹›„“”‚…")
 
 
 def shape(word: str) -> str:
@@ -254,7 +254,7 @@ def misplaced(word: str) -> int:
         elif c.isalpha() and c not in "ªº":
             n += bool(latin and not roman or left.isdigit() or right.isdigit() or c.isupper() and left.islower() or c.islower() and left.isupper() and right.isupper())
         elif kind[0] in "SN" and c != "̈":
-            n += left.isalpha() or right.isalpha()
+            n += right.isalpha() or left.isalpha() and not (c == "°" and right.isdigit())
         elif c in NOT_BETWEEN:
             n += left.isalpha() and right.isalpha()
         elif kind == "Po" and c not in BESIDE_LETTERS:
@@ -279,7 +279,7 @@ def readings(word: str, chars: dict[str, int]) -> dict[str, int]:
         options = []
         for m, mask in meant.items():
             new = [c for c in m if not c.isascii()]
-            if any(c not in chars or chars[c] * RARER < seen for c in new):
+            if any(c not in chars or not bad and chars[c] * RARER < seen for c in new):
                 continue
             options.append((m, mask, sum(not (k := _kind(c))[0] or bool(latin and c.isalpha() and not k[1]) for c in new)))
         options = [x for x in options if x[2] <= bad]
@@ -330,8 +330,12 @@ def _by_words(names: DataFrame, chars: dict[str, int]) -> DataFrame:
                     old, new = grams(w), grams(v)
                     # Letters in their places. They are asked for only if their characters are more frequent than those of the images.
                     places = [(x, "") for x in new]
-                    if not strong:
-                        places = [(x, y) for x, y in zip(new, old) if x[1] != y[1]] if len(old) == len(new) else []
+                    if not strong and len(old) != len(new):
+                        # Several letters of another script for one: as rare as the rarest of them.
+                        least = min((y for y in old), key=lambda y: chars.get(y[1], 0))
+                        places = [(x, least) for x in new]
+                    elif not strong:
+                        places = [(x, y) for x, y in zip(new, old) if x[1] != y[1]]
                         times = 1 if gain >= len(places) else FAR_MORE
                         if any(chars.get(x[1], 0) < times * chars.get(y[1], 0) or times > 1 and y[1] in BESIDE_LETTERS for x, y in places):
                             places = []

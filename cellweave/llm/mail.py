@@ -13,7 +13,7 @@ FIRST = re.compile(r"[!-9;-~]+:[ \t]?[^\n]*\n")
 FIELD = re.compile(r"^(content-type|content-transfer-encoding)[ \t]*:[ \t]*([^\n]*(?:\n[ \t][^\n]*)*)", re.I | re.M)
 BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"]*)"|([^\s;]+))', re.I)
 CHARSET = re.compile(r'charset\s*=\s*"?([^\s;"]+)', re.I)
-LOOSE = re.compile(r"^--([^\n]{1,200}?)[ \t]*\n(?=content-[a-z-]+[ \t]*:)", re.I | re.M)
+LOOSE = re.compile(r"^--([^\n]+?)[ \t]*\n(?=content-[a-z-]+[ \t]*:)", re.I | re.M)
 B64 = re.compile(r"[^A-Za-z0-9+/]")
 B64_LINES = re.compile(r"\s*(?:[A-Za-z0-9+/]{40,}\n)+[A-Za-z0-9+/]*={0,2}\s*\Z")
 QP_SIGNS = re.compile(r"=\n|=[0-9A-F]{2}")
