@@ -261,13 +261,14 @@ def _joint(ra: np.ndarray, rb: np.ndarray, n: np.ndarray, m: int, base: float, a
     union = x.sum()
     jac, gr = x[2] / union, np.array([-x[2], -x[2], union - x[2]]) / union**2
     var = lambda q: math.sqrt(max(float(q @ cov @ q), 0.0))
-    # Near an empty intersection the curvature says little: how far up does the likelihood stay within half a unit?
+    # Near an empty intersection the curvature says little: how far up does the likelihood stay within four and a half
+    # units, as it does for three standard errors where it is curved?
     at_ = lambda v: ll(np.log(np.maximum([x[0] + x[2] - v, x[1] + x[2] - v, v], 1e-3) / m))
     lo, hi, top = x[2], min(x[0], x[1]) + x[2], at_(x[2])
     for _ in range(40):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if at_(mid) > top - 0.5 else (lo, mid)
-    both_error = max(var(np.array([0, 0, 1.0])), lo - x[2])
+        lo, hi = (mid, hi) if at_(mid) > top - 4.5 else (lo, mid)
+    both_error = max(var(np.array([0, 0, 1.0])), (lo - x[2]) / 3)
     return {"n_union": union, "n_union_error": var(np.ones(3)), "n_both": x[2], "n_both_error": both_error, "jaccard": jac, "jaccard_error": max(var(gr), both_error / union)}
 
 
@@ -275,7 +276,7 @@ JOINT = "key_a string, key_b string, n_a double, n_b double, n_union double, n_u
 
 
 #: Sets a block of joint() has at most, as far as hashing spreads them: two blocks, 4 KB a set, are what a task holds.
-BLOCK = 128
+BLOCK = 32
 
 
 def joint(sketches: DataFrame, key: str, m_bits: int = M_BITS, base: float = BASE) -> DataFrame:
