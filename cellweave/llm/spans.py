@@ -226,13 +226,14 @@ def _choices(docs: DataFrame, least: int, slack: int = SLACK) -> DataFrame:
     """The rows of _last() of the records (id, text) that survive all levels before it, written once."""
     last = least - slack + 1
     left, size = docs.where(F.length("text") >= least).select("id", "text"), last // 4
-    parts = _parts(left.mapInArrow(_sampled(size, size), RUNS), size, size, least)
+    wide = lambda size: min(5 * size // 3, (least - size) * 6 // 7)  # fewer choices for short windows, of which most are looked at
+    parts = _parts(left.mapInArrow(_sampled(size, wide(size)), RUNS), size, wide(size), least)
     while True:
         left = written(left.select("id", "text").join(parts, "id").select("id", "text", "los", "his"))
         size *= 2
         if 2 * size > last or left.isEmpty():
             break
-        parts = _parts(left.mapInArrow(_sampled(size, size), RUNS), size, size, least)
+        parts = _parts(left.mapInArrow(_sampled(size, wide(size)), RUNS), size, wide(size), least)
     return written(left.mapInArrow(_last(last, slack), LAST))
 
 
