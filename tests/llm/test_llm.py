@@ -263,3 +263,26 @@ def test_shared_spans(spark):
     assert set(got) == pairs and len(got) == len(pairs)
     assert {r.id: r.shared_chars for r in spans.shared_parts(df).collect()} == cover
     assert spans.shared_pairs(df.limit(0)).count() == 0
+
+
+def test_extra_columns_with_names_of_our_own(spark):
+    """Columns that aren't asked for change nothing, whatever they are called."""
+    def more(df, *names):
+        return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+
+    d = spark.createDataFrame([(1, ITEM, ["a"]), (2, "x " + ITEM + " " + "y" * 500, ["a", "b"]), (3, None, None), (4, "", []), (5, "z" + "y" * 500, ["b"])], "doc_id long, text string, a array<string>")
+    docs = d.select(F.col("doc_id").alias("id"), "text")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    odd = ["id", "h", "w", "c", "k", "l", "r", "n", "d", "s", "lo", "hi", "pos", "part", "words", "start", "ids", "idx", "reg", "regs", "name", "word", "items", "weight", "i", "x", "y", "q", "at", "freq", "restored", "complete", "doc_id", "item_id"]
+    same = [
+        (lambda f: spans.shared_pairs(f(docs)), {(2, 5)}),
+        (lambda f: leaks.leaks(f(d), f(items)).select("doc_id", "item_id"), {(1, 7), (2, 7)}),
+        (lambda f: encode.encode(f(d)).where("size(ids) = 0").select("doc_id"), {(3,), (4,)}),
+        (lambda f: garbled.find(f(d.withColumn("text", F.lit("BarmÃ¼rÃ¼ti"))), "doc_id", "text").select("doc_id"), {(k,) for k in range(1, 6)}),
+        (lambda f: sketches.count(sketches.sketch(f(d.where("doc_id < 3")), ["text"], "a"), ["text"]).select(F.round("n_distinct")), {(1.0,), (2.0,)}),
+        (lambda f: setoverlap.overlaps(f(d.where("doc_id in (1, 2, 5)").withColumn("text", F.col("doc_id").cast("string"))), "text", "a").select("set_a", "set_b", "n_shared"), {("1", "2", 1), ("2", "5", 1)}),
+        (lambda f: cooccur.pairs(f(d.select("doc_id", F.explode("a").alias("a"))), "doc_id", "a").select("item_a", "item_b", "n_ab"), {("a", "b", 1)}),
+        (lambda f: topn.top_n(f(d), ["text"], "doc_id", "doc_id", 1).select("doc_id"), {(k,) for k in range(1, 6)}),
+    ]
+    for run, want in same:
+        assert {tuple(r) for r in run(lambda df: more(df, *odd)).collect()} == want == {tuple(r) for r in run(lambda df: df).collect()}
