@@ -106,3 +106,23 @@ def test_dense_ids(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("v"))
     got = sorted((r.v, r.feature_id) for r in GZ.dense_ids(df, ["v"]).collect())
     assert got == [(i, i) for i in range(1000)] and GZ.dense_ids(df.limit(0), ["v"]).count() == 0
+
+
+def test_extra_columns_with_names_of_our_own(spark):
+    odd = ["a", "b", "i", "j", "ax", "ay", "bx", "by", "x2", "own", "inside", "level", "full", "cell", "region_id", "interior", "objektart", "n", "n_rows", "wkb2"]
+
+    def more(df):
+        return df.withColumns({n: F.lit(1) for n in odd if n not in df.columns})
+
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 60.0, 60.0), (3, 0.0, 0.0), (4, 500.0, 0.0), (None, None, 1.0)], "id long, x double, y double")
+    assert {tuple(r) for r in N.near(more(pts), 100).collect()} == {(1, 2), (1, 3), (2, 3)}
+    c = G.cell(4, 0, 0, 13)
+    f = spark.createDataFrame([(1, "Turm", [c], 1), (2, "Turm", [c, None], 2), (3, "Gemeindegebiet", [G.cell(4, 0, 0, 11)], 1), (4, None, None, None)], "feature_id long, OBJEKTART string, h3_cells array<long>, h3_cell_count int")
+    wide = f.withColumns({n: F.lit(1) for n in odd if n != "objektart"})
+    assert {tuple(r) for r in N.near_or_inside(wide).collect()} == {("near", 1, 2), ("inside", 1, 3), ("inside", 2, 3)}
+    assert {tuple(r) for r in K.category_load(wide).collect()} == {("Turm", 2, 3, 2), ("Gemeindegebiet", 1, 1, 1), (None, 1, None, None)}
+    box = wkb_polygon([[(2_500_000.0, 1_100_000.0), (2_501_000.0, 1_100_000.0), (2_501_000.0, 1_101_000.0), (2_500_000.0, 1_101_000.0), (2_500_000.0, 1_100_000.0)]])
+    polys = spark.createDataFrame([(7, box)], "region_id long, wkb binary").withColumn("x", F.lit(1))
+    at = spark.createDataFrame([(1, 2_500_500.0, 1_100_500.0), (1, 2_500_500.0, 1_100_500.0), (2, 2_500_999.0, 1_100_999.0), (3, 2_501_001.0, 1_100_500.0), (4, None, None)], "id long, x double, y double").withColumn("wkb", F.lit("w"))
+    assert sorted(tuple(r) for r in N.inside_polygons(at, polys).collect()) == [(1, 7), (2, 7)]
+    assert N.inside_polygons(at.limit(0), polys).count() == 0 and N.inside_polygons(at, polys.limit(0)).count() == 0
