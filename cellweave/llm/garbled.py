@@ -356,7 +356,9 @@ def _by_words(names: DataFrame, chars: dict[str, int]) -> DataFrame:
 
     parts = written(names.select("name", "n").mapInArrow(split, "name string, n bigint, word string"))
     words = written(parts.groupBy("word").agg(F.sum("n").alias("n")))
-    tries = written(words.mapInArrow(reread, "word string, n bigint, meant string, gain int, odd boolean, plain boolean, new array<string>, old array<string>"))
+    # Dealt out by number of tasks: few bytes a word, but much work.
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tries = written(words.repartition(tasks).mapInArrow(reread, "word string, n bigint, meant string, gain int, odd boolean, plain boolean, new array<string>, old array<string>"))
     seen = words.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
     known = tries.join(seen, "meant").where("n_meant >= n or gain > 0").select("word", "meant", "gain", "n_meant", ((F.col("gain") > 0) | (F.col("n_meant") >= FAR_MORE * F.col("n"))).alias("sure"))
     g = written(words.mapInArrow(places, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("m")))
