@@ -14,6 +14,7 @@ from ..sources import matrix as M
 from ..sources import paths as P
 from ..sources import store as S
 from . import context as X
+from .pairs import pairs
 from .stage import written
 
 
@@ -63,7 +64,9 @@ def search(mentions: DataFrame, features: DataFrame, text: str = "mention", meth
 
     once = keyed(mentions.select(F.col(text).alias("__text")).where("__text is not null").distinct(), "__text")
     named = keyed(features.select("NAME", "feature_id", "UUID").where("NAME is not null"), "NAME").drop("NAME")
-    hit = named.join(once, ["tier", "key"]).groupBy("__text", "feature_id").agg(F.min("tier").alias("tier"), F.first("UUID").alias("UUID"))
+    hit = named.join(once, ["tier", "key"])
+    if most > 1:
+        hit = hit.groupBy("__text", "feature_id").agg(F.min("tier").alias("tier"), F.first("UUID").alias("UUID"))
     return hit.select(F.col("__text").alias(text), "feature_id", "UUID", "tier")
 
 
@@ -75,11 +78,13 @@ def mention_text(text: Column, start: Column, end: Column) -> Column:
 def gather(references: DataFrame, found: DataFrame, existing: DataFrame, text: str = "mention") -> DataFrame:
     """(doc_id, ref_idx, UUID, feature_id): what a search adds to references without a result; what the reference has is not added again.
 
-    references: (doc_id, ref_idx, text, result); found: (text, feature_id, UUID); existing: (doc_id, ref_idx, UUID).
+    references: (doc_id, ref_idx, text, result); found: (text, feature_id, UUID); existing: (doc_id, ref_idx, UUID). A
+    reference brings the UUIDs it has as an array, so the pairs, far more than all rows that are read, aren't shuffled.
     """
-    todo = references.where("result is null").select("doc_id", "ref_idx", text)
-    new = todo.join(found, text).select("doc_id", "ref_idx", "UUID", "feature_id")
-    return new.join(existing.select("doc_id", "ref_idx", "UUID").distinct(), ["doc_id", "ref_idx", "UUID"], "left_anti")
+    held = existing.where("doc_id is not null and ref_idx is not null and UUID is not null").groupBy("doc_id", "ref_idx").agg(F.collect_set("UUID").alias("held"))
+    todo = written(references.where("result is null").select("doc_id", "ref_idx", text).join(held, ["doc_id", "ref_idx"], "left"))
+    new = pairs(written(found.select(text, "UUID", "feature_id")), todo, text)
+    return new.where(~F.coalesce(F.array_contains("held", F.col("UUID")), F.lit(False))).select("doc_id", "ref_idx", "UUID", "feature_id")
 
 
 def to_embed(candidates: DataFrame, done: DataFrame) -> DataFrame:
