@@ -4,9 +4,12 @@ import random
 
 import pytest
 
+from cellweave import PlanarGrid
 from cellweave.operators import pairs as P
 from cellweave.plans import queries as Q
 
+G = PlanarGrid()
+
 
 def shuffled(df):
     """Rows of df, and the records that its last plan wrote to shuffles."""
@@ -43,6 +46,8 @@ def test_pairs_are_a_join(spark, monkeypatch):
     got = P.pairs(spark.createDataFrame(many, "k string, i int"), spark.createDataFrame(few, "k string, j int, held array<string>"), "k").collect()
     want = [(k, i, j, h) for k, i in many for q, j, h in few if k is not None and k == q]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 500
+    alone = P.pairs(spark.createDataFrame(many, "k string, i int"), spark.createDataFrame([(k, h and h[0]) for k, _, h in few if h != []], "k string, x string"), "k").collect()
+    assert sorted(map(tuple, alone), key=str) == sorted([(k, i, h and h[0]) for k, i, _, h in want], key=str) and any(h is None for *_, h in want)
 
 
 def test_candidates_are_not_shuffled(spark, large, tmp_path):
@@ -54,3 +59,17 @@ def test_candidates_are_not_shuffled(spark, large, tmp_path):
     rows, n = shuffled(Q.gather_candidates(spark, str(tmp_path)))
     assert sorted((r.doc_id, r.feature_id) for r in rows) == [(d, i) for d in range(200) for i in range(300) if d != i]
     assert n < 5_000
+
+
+def test_overlaps_are_not_shuffled(spark, large, tmp_path):
+    """Sources with the same cells as very many features: 20 times 1,000 pairs, and some inside a larger cell."""
+    here, fine, coarse = (G.cell(4, 0, 0, r) for r in (9, 11, 7))
+    cells = {i: [here] for i in range(1000)} | {1000: [fine], 1001: [coarse], 1050: [fine, fine], 1051: [G.cell(4, 500, 500, 9)], 1100: None}
+    rows = [(i, f"n{i}", None if i == 7 else f"k{i % 3}", c) for i, c in cells.items()]
+    spark.createDataFrame(rows, "feature_id long, NAME string, OBJEKTART string, h3_cells array<bigint>").write.parquet(f"{tmp_path}/features.parquet")
+    near = {i: {j for j in cells if cells[j] and j not in (i, 1051)} for i in (*range(0, 1000, 50), 1000, 1050)}
+    rows, n = shuffled(Q.intersecting_features(spark, str(tmp_path)))
+    area = {here: 1024 << 8, fine: 1024 << 4, coarse: 1024 << 12}
+    want = sorted((i, j, "-" if j == 7 else f"k{j % 3}", min(area[cells[i][0]], area[cells[j][0]])) for i, js in near.items() for j in js)
+    assert sorted((r.src_id, r.feature_id, r.OBJEKTART or "-", r.shared_m2) for r in rows) == want and len(want) > 20_000
+    assert n < 20_000
